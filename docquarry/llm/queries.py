@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import encode_documents
 from .common import table
 from .compression_bands import compression_bands
+from .packing import best_fit_packing
 from .sharding import byte_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +20,23 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_byte_shards": op10_byte_shards,
 }
 
