@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
-from .common import table
+from .common import crc_mod, table
 from .compression_bands import compression_bands
+from .gam_quality import AdditiveModel, learn_quality, score_quality
 from .packing import best_fit_packing
+from .ppm_language import PPM, identify_languages, learn_languages
 from .sharding import byte_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +23,31 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def language_model(docs: DataFrame) -> PPM | None:
+    return learn_languages(docs, crc_mod(docs["doc_id"], 3) != 1)
+
+
+def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, language_model(docs))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> AdditiveModel:
+    return learn_quality(docs, labels, crc_mod(labels["doc_id"], 5) != 0)
+
+
+def op7_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,7 +58,9 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
+    "op2_ppm_language": op2_ppm_language,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_gam_quality": op7_gam_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_byte_shards": op10_byte_shards,
 }
