@@ -15,6 +15,7 @@ from .gam_quality import AdditiveModel, learn_quality, score_quality
 from .packing import best_fit_packing
 from .ppm_language import PPM, identify_languages, learn_languages
 from .sharding import byte_shards
+from .substring_dedup import repeated_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> AdditiveModel:
     return learn_quality(docs, labels, crc_mod(labels["doc_id"], 5) != 0)
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_ppm_language": op2_ppm_language,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_gam_quality": op7_gam_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_byte_shards": op10_byte_shards,
