@@ -1,29 +1,47 @@
 """Token ids of whole texts by a tokenizer of the ``tokenizers`` library, with a cache of words.
 
-White space separates the pre-tokens of this kind of tokenizer and is dropped, so a text's ids are those of its
-blank-separated words one after the other. Each new word is encoded once per worker by the library itself; texts with
-characters for which this split is not safe are encoded whole by the library.
+For tokenizers whose pre-tokens never span white space, drop it, and end in a token with the word-end suffix. A text's ids
+are then those of its words one after the other, and a word's those of its pre-tokens. New pre-tokens are encoded by the
+library, many to a call; the word-end tokens tell where each one's ids end. Texts with characters for which splitting at
+white space is not safe are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import unicodedata
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: The last characters that Python's str.split() takes for white space and Unicode's White_Space doesn't; and a letter
-#: whose lower case depends on its neighbours in Python.
+#: Characters that Python's str.split() takes for white space and Unicode's White_Space doesn't; and a letter whose lower
+#: case depends on its neighbours in Python.
 SPECIAL = regex.compile("[\x1c-\x1fΣ]")
 
 
 class WordTokens:
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 400_000, batch: int = 50_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, *rest = spec["pre_tokenizer"]["pretokenizers"]
+        suffix = spec["model"]["end_of_word_suffix"]
+        if split["type"] != "Split" or not suffix:
+            raise ValueError("this needs a tokenizer that splits by a pattern and marks word ends")
+        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
+        # the same model for pre-tokens that are already normal and split: one call takes many, with blanks between
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+        self.split_tokenizer = Tokenizer.from_str(json.dumps(spec))
+        self.split_tokenizer.encode_special_tokens = True
+        vocabulary = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.cache_size, self.batch = cache_size, batch
 
     def encode_slice(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -32,9 +50,31 @@ class WordTokens:
         cache = self.cache
         split = [None if SPECIAL.search(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
         new = list(set().union(*(x for x in split if x is not None)) - cache.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[word] = np.array(found.ids, "<u4").tobytes()
+        for at in range(0, len(new), self.batch):
+            self._learn(new[at : at + self.batch])
         return [self._whole(t) if x is None else b"".join(map(cache.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
 
+    def _pieces(self, word: str) -> list[str]:
+        """The word's pre-tokens; letters only, or with one mark at the end, need no pattern."""
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".,!?;:" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pattern.findall(word)
+
+    def _learn(self, words: list[str]) -> None:
+        pieces = [self._pieces(w) for w in words]
+        distinct = list({p for x in pieces for p in x})
+        lines = [" ".join(distinct[k : k + 50]) for k in range(0, len(distinct), 50)]
+        ids = np.array([i for k in range(0, len(lines), 100) for x in self.split_tokenizer.encode_batch_fast(lines[k : k + 100], add_special_tokens=False) for i in x.ids], "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) == len(distinct):
+            blob = ids.tobytes()
+            known = {p: blob[a:b] for p, a, b in zip(distinct, [0, *ends], ends)}
+            for word, x in zip(words, pieces, strict=True):
+                self.cache[word] = known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x))
+        else:  # a pre-token without an end mark, such as one that the vocabulary can't spell
+            self.cache.update((w, self._whole(w)) for w in words)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
