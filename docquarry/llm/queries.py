@@ -12,6 +12,7 @@ from .byte_bpe import encode_documents
 from .common import crc_mod, table
 from .compression_bands import compression_bands
 from .gam_quality import AdditiveModel, learn_quality, score_quality
+from .jaccard_join import jaccard_components
 from .packing import best_fit_packing
 from .ppm_language import PPM, identify_languages, learn_languages
 from .sharding import byte_shards
@@ -57,6 +58,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_gam_quality": op7_gam_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_byte_shards": op10_byte_shards,
 }
 
