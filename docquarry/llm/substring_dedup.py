@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunking.
 
 A 16-bit gear hash rolls over the UTF-8 bytes (each step shifts and adds a random value of the byte, so the hash depends
-on the last 16 bytes alone). A chunk ends where the top five bits are zero, within least and greatest sizes; boundaries
+on the last 16 bytes alone). A chunk ends where the top four bits are zero, within least and greatest sizes; boundaries
 follow the content, so an insertion shifts bytes but not the chunks after it. Chunks are deduplicated by their digest: a
 chunk is repeated if two different documents hold it, and the document with the smallest id keeps it. Repeated chunks
 that touch form spans; only spans of ``least_span`` bytes count, so that common phrases leave a document alone.
@@ -34,7 +34,7 @@ WINDOW = 16
 class Chunking:
     """``zero_bits``: a boundary is expected every 2**zero_bits bytes; sizes in bytes, ``most`` below 256."""
 
-    zero_bits: int = 5
+    zero_bits: int = 4
     least: int = 16
     most: int = 160
     least_span: int = 80
