@@ -33,16 +33,19 @@ def col(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable: the session's ``spark.checkpoint.dir`` if it is set, else a local folder (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables: ``spark.checkpoint.dir`` if the session has it, else one set before, else
+    a new local one (single-machine sessions such as tests)."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that a lost executor costs no recomputation and the partition layout is fixed."""
-    use_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

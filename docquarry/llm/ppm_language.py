@@ -63,16 +63,27 @@ class PPM:
 
     @classmethod
     def learn(cls, languages: list[str], order: int, key: np.ndarray, language: np.ndarray, count: np.ndarray, least: int = 2) -> PPM:
-        """``least``: strings of full length seen less often in all are left out; shorter ones keep their counts."""
+        """From rows (string of order + 1 bytes, language, count). ``least``: strings of full length seen less often in all
+        are left out; shorter ones keep their counts."""
+        keys, at = np.unique(key, return_inverse=True)
+        size = len(languages)
+        n = np.bincount(at * size + language, weights=count, minlength=len(keys) * size).reshape(-1, size)
+        often = n.sum(axis=1) >= least
+        return cls.learn_sides(languages, order, keys[often], n[often], keys[~often], n[~often])
+
+    @classmethod
+    def learn_sides(cls, languages: list[str], order: int, key: np.ndarray, counts: np.ndarray, rest: np.ndarray, rest_counts: np.ndarray) -> PPM:
+        """From strings of order + 1 bytes with a column of counts per language. ``rest``: strings, or only their last
+        ``order`` bytes, that count for shorter strings alone."""
         size = len(languages)
         seen: list[tuple[np.ndarray, np.ndarray]] = []
         longer = np.empty(0, np.int64)
         for depth in range(order + 1, 0, -1):  # a string's context and its shorter form are strings of the trie as well
             mask = (1 << 8 * depth) - 1
-            keys, at = np.unique(np.concatenate([key & mask, longer & mask, longer >> 8]), return_inverse=True)
-            n = np.bincount(at[: len(key)] * size + language, weights=count, minlength=len(keys) * size).reshape(-1, size)
-            if depth == order + 1:
-                keys, n = keys[n.sum(axis=1) >= least], n[n.sum(axis=1) >= least]
+            given, n_given = (key, counts) if depth == order + 1 else (np.concatenate([key, rest]), np.concatenate([counts, rest_counts]))
+            keys, at = np.unique(np.concatenate([given & mask, longer & mask, longer >> 8]), return_inverse=True)
+            at = at[: len(given)]
+            n = np.stack([np.bincount(at, weights=n_given[:, k], minlength=len(keys)) for k in range(size)], axis=1)
             seen.insert(0, (keys, n))
             longer = keys
         cost: list[np.ndarray] = []

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_documents
 from .common import crc_mod, table
 from .compression_bands import compression_bands
+from .cross_entropy import cross_entropy_difference, learn_pair
 from .gam_quality import AdditiveModel, learn_quality, score_quality
 from .jaccard_join import jaccard_components
 from .packing import best_fit_packing
@@ -40,6 +41,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents that ``labels`` marks as good."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    return cross_entropy_difference(docs, learn_pair(marked, F.col("good")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -70,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_ppm_language": op2_ppm_language,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_cross_entropy": op5_cross_entropy,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_gam_quality": op7_gam_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
