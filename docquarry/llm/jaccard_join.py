@@ -10,7 +10,8 @@ Two documents link when ``100 * |x & y| >= threshold * |x | y|`` for their sets
    so that of two linked sets at least one common signature is always there. A passage that many documents share fills
    no whole segment of otherwise different documents, so it makes no candidates.
 3. Documents with a common signature are chained to the smallest one, first inside each task and then across tasks, so that
-   a signature which very many documents share sends one row per task. Components of these chains are families.
+   a signature which very many documents share sends one row per task. Components of these chains are families; of each
+   class only its representative goes on.
 4. A family is compared in tiles. A small one is one tile; a large one is dealt into cells by size band and hash, and a
    tile holds two cells of the same or neighbouring bands. In a tile, pairs of one component are skipped; for others, the
    differing bits of their parity bitmaps bound the overlap from above, and pairs that pass are intersected exactly.
@@ -189,20 +190,41 @@ def _profiles(docs: DataFrame, rules: JoinRules) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, hi long, lo long, sigs binary")
 
 
-def _chains(profiles: DataFrame, flush: int = 4 << 20) -> DataFrame:
-    """Candidate edges (a, b) that connect all documents with a common signature."""
+def _star(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorts rows by signature and document; per row its document, the smallest of its signature, and its signature."""
+    order = np.lexsort((doc, sig))
+    sig, doc = sig[order], doc[order]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    return doc, doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))], sig
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigs, ids, held = [], [], 0
 
-        def emit() -> pd.DataFrame:
-            sig, doc = np.concatenate(sigs), np.concatenate(ids)
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            center = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-            # a row with a center is an edge found here; a row without one asks the other tasks
-            return pd.DataFrame({"sig": sig.view(np.int64), "doc": doc, "center": pd.Series(center).where(~new).astype("Int64")})
+def _candidate_edges(profiles: DataFrame, flush: int = 4 << 20) -> DataFrame:
+    """Edges (a, b) that connect all documents with a common signature.
+
+    Each task chains its own documents; of every signature only the smallest of them goes on, in blobs of 16 bytes a row to
+    the bucket of its signature. ``flush``: rows that a task holds before it sends them.
+    """
+    buckets = 4 * int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sigs: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        held = 0
+
+        def send() -> Iterator[pd.DataFrame]:
+            doc, center, sig = _star(np.concatenate(sigs), np.concatenate(ids))
+            inner = _distinct_pairs(doc, center)
+            yield pd.DataFrame({"bucket": -1, "sigs": inner["b"].to_numpy(np.int64).tobytes(), "docs": inner["a"].to_numpy(np.int64).tobytes()}, index=[0])
+            mine = np.concatenate([[True], sig[1:] != sig[:-1]])
+            sig, doc = sig[mine], doc[mine]
+            # sorted by signature, so the buckets (its leading bits) are slices
+            limits = np.searchsorted(sig, np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64))
+            parts = list(zip(np.split(sig, limits), np.split(doc, limits), strict=True))
+            yield pd.DataFrame([(k, x.tobytes(), y.tobytes()) for k, (x, y) in enumerate(parts) if len(x)], columns=["bucket", "sigs", "docs"])
 
         for pdf in batches:
             for doc, blob in zip(pdf["doc_id"], pdf["sigs"], strict=True):
@@ -211,31 +233,23 @@ def _chains(profiles: DataFrame, flush: int = 4 << 20) -> DataFrame:
                 ids.append(np.full(len(got), doc, np.int64))
                 held += len(got)
                 if held >= flush:
-                    yield from _edges_last(emit())
+                    yield from send()
                     sigs, ids, held = [], [], 0
         if held:
-            yield from _edges_last(emit())
-
-    found = profiles.mapInPandas(run, "sig long, a long, b long")
-    return found
+            yield from send()
 
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, center, _ = _star(np.frombuffer(b"".join(pdf["sigs"]), np.uint64), np.frombuffer(b"".join(pdf["docs"]), np.int64))
+        return _distinct_pairs(doc, center)
 
-def _edges_last(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    inner = rows["center"].notna()
-    edges = rows[inner][["doc", "center"]].drop_duplicates()
-    edges = edges[edges["doc"] != edges["center"]]
-    yield pd.DataFrame({"sig": pd.Series([None] * len(edges), dtype="Int64"), "a": edges["doc"].to_numpy(), "b": edges["center"].astype("int64").to_numpy()})
-    asks = rows[~inner]
-    yield pd.DataFrame({"sig": asks["sig"].astype("Int64").to_numpy(), "a": asks["doc"].to_numpy(), "b": asks["doc"].to_numpy()})
-
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, y in zip(pdf["sigs"], pdf["docs"], strict=True):
+                yield pd.DataFrame({"a": np.frombuffer(y, np.int64), "b": np.frombuffer(x, np.int64)})
 
-def _candidate_edges(profiles: DataFrame) -> DataFrame:
-    rows = cut_lineage(_chains(profiles))
-    inside = rows.where("sig is null").select("a", "b")
-    asks = rows.where("sig is not null").select("sig", "a")
-    low = asks.groupBy("sig").agg(F.min("a").alias("b"), F.max("a").alias("top")).where("b < top").drop("top")
-    across = asks.join(low, "sig").where("a > b").select("a", "b")
-    return inside.union(across)
+    rows = profiles.mapInPandas(run, "bucket int, sigs binary, docs binary")
+    across = rows.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, "a long, b long")
+    return rows.where("bucket < 0").mapInPandas(unpack, "a long, b long").union(across)
 
 
 def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
@@ -243,7 +257,7 @@ def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), (F.sum("n") * 8).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("docs") / F.lit(rules.cell_docs)), F.ceil(F.col("bytes") / F.lit(rules.cell_bytes))).cast("int")
     placed = family.join(sizes.select("family", blocks.alias("blocks")), "family")
-    texts = docs.dropDuplicates(["doc_id"]).join(placed, "doc_id").select("doc_id", "text", "family", "blocks", "n")
+    texts = docs.join(placed, "doc_id").select("doc_id", "text", "family", "blocks", "n").dropDuplicates(["doc_id"])
 
     # a large family's cells: size bands as wide as a link allows, and hash blocks in them
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100.0 / rules.threshold)) * 1.0001)).cast("int")
@@ -277,9 +291,11 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), id_col:
     keyed = texts.where("doc_id is not null")
     profiles = cut_lineage(_profiles(keyed, rules))
     classes = profiles.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    reps = profiles.where("n > 0").join(classes, ["hi", "lo"]).where("doc_id = rep").select("doc_id", "n", "sigs").dropDuplicates(["doc_id"])
-    family = connected_components(_candidate_edges(reps.select("doc_id", "sigs")))
-    members = profiles.select("doc_id", "n").dropDuplicates(["doc_id"]).join(family, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("family"), "n")
+    family = connected_components(_candidate_edges(profiles.where("n > 0").select("doc_id", "sigs")))
+    reps = profiles.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    members = reps.join(family, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("family"), "n")
+    alone = members.groupBy("family").agg(F.count(F.lit(1)).alias("reps")).where("reps = 1").select("family")
+    members = cut_lineage(members.join(alone, "family", "left_anti").dropDuplicates(["doc_id"]))  # copies of one text need no tile
     linked = connected_components(_links(keyed, members, rules))
     grouped = classes.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     held = profiles.where("n > 0").select("doc_id", "n", "hi", "lo").join(grouped, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
