@@ -9,17 +9,20 @@ Two documents link when ``100 * |x & y| >= threshold * |x | y|`` for their sets
    as well. Empty segments send nothing as long as a set has at most m - d - 1 of them; a set with more sends theirs too,
    so that of two linked sets at least one common signature is always there. A passage that many documents share fills
    no whole segment of otherwise different documents, so it makes no candidates.
-3. Documents with a common signature are chained to the smallest one, first inside each task and then across tasks, so that
-   a signature which very many documents share sends one row per task. Components of these chains are families; of each
-   class only its representative goes on.
-4. A family is compared in tiles. A small one is one tile; a large one is dealt into cells by size band and hash, and a
-   tile holds two cells of the same or neighbouring bands. In a tile, pairs of one component are skipped; for others, the
-   differing bits of their parity bitmaps bound the overlap from above, and pairs that pass are intersected exactly.
+3. Signatures go to buckets in blobs of twelve bytes each (six of the signature besides its bucket, six of the class); a
+   task sends each once. A bucket keeps those that two classes or more share. Truncation adds candidates, never loses one.
+4. The classes that share a signature are compared by their bitmaps, and those that pass the overlap bound below are
+   chained; components of the chains are families. Families are then compared exactly, text by text. Both happen in tiles:
+   a small group is one tile; a large one is dealt into cells by size band and hash, and a tile holds two cells of the
+   same or neighbouring bands, so that no task sees more than two cells. In a tile, pairs of one component are skipped;
+   for others, the differing bits of their parity bitmaps bound the overlap from above, and pairs that pass are
+   intersected exactly.
 5. Components of the links, over classes, give the result.
 
 Defined results: lower-case is of A-Z only; fewer words than a shingle make one shingle of the whole sequence; no words or
-a null text give an empty set (n_shingles 0, own component). Repeated rows are classes like other copies. A row with a
-null id gets a null component and links nothing.
+a null text give an empty set (n_shingles 0, own component). Repeated rows are copies like others. A row with a null id
+has no name to be linked by and no row in the result. An id should name one text; if rows with different texts share one,
+they count as linked where any of them is.
 """
 
 from __future__ import annotations
@@ -140,20 +143,17 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def link_tile(sets: list[np.ndarray], side: np.ndarray, rules: JoinRules) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a tile, as index pairs. ``side``: 0 or 1; only pairs of different sides are
-    compared, unless all rows are on one side."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    size = np.array([len(sets[i]) for i in order], np.int64)
-    sides = side[order]
+def link_tile(size: np.ndarray, bits: np.ndarray, side: np.ndarray, rules: JoinRules, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links in a tile, as index pairs: of the pairs that the bitmaps let pass, or with ``sets`` of
+    the exact links. ``side``: 0 or 1; if both occur, only pairs of different sides are compared."""
+    order = np.argsort(size, kind="stable")
+    size, bits, sides = size[order], bits[order], side[order]
     crossing = bool(sides.any()) and not bool(sides.all())
-    bits = bitmaps([sets[i] for i in order], rules.words64)
     root = np.arange(len(order))
     links = []
     for i in range(1, len(order)):
         first = int(np.searchsorted(100 * size[:i], rules.threshold * size[i]))
         near = np.arange(first, i)
-        near = near[root[near] != root[i]]
         if crossing:
             near = near[sides[near] != sides[i]]
         if not len(near):
@@ -164,140 +164,203 @@ def link_tile(sets: list[np.ndarray], side: np.ndarray, rules: JoinRules) -> lis
         for j in near[np.argsort(apart, kind="stable")].tolist():
             if root[j] == root[i]:
                 continue
-            both = overlap(sets[order[i]], sets[order[j]])
-            if 100 * both >= rules.threshold * (size[i] + size[j] - both):
-                links.append((order[i], order[j]))
-                root[root == root[i]] = root[j]
+            if sets is not None:
+                both = overlap(sets[order[i]], sets[order[j]])
+                if 100 * both < rules.threshold * (size[i] + size[j] - both):
+                    continue
+            links.append((int(order[i]), int(order[j])))
+            root[root == root[i]] = root[j]
     return links
 
 
 def _profiles(docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """(doc_id, n, hi, lo, sigs): size, 128-bit digest of the set, and signatures."""
+    """(doc_id, n, hi, lo, bits): size, 128-bit digest of the set, and its bitmap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = Bands(rules)
         for pdf in batches:
             for part in slices_by_bytes(pdf["text"]):
-                out = []
-                for text in part:
-                    s = shingles(text, rules.width)
-                    d = xxhash.xxh3_128_intdigest(s.tobytes())
-                    out.append((len(s), d >> 65, d & ((1 << 63) - 1), signatures(s, bands, rules).tobytes()))
-                got = pd.DataFrame(out, columns=["n", "hi", "lo", "sigs"])
-                got.insert(0, "doc_id", pdf["doc_id"].loc[part.index].to_numpy())
-                yield got
+                sets = [shingles(t, rules.width) for t in part]
+                digests = [digest(s) for s in sets]
+                bits = [b.tobytes() for b in bitmaps(sets, rules.words64)]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].loc[part.index].to_numpy(), "n": [len(s) for s in sets], "hi": [d[0] for d in digests], "lo": [d[1] for d in digests], "bits": bits})
+
+    return docs.mapInPandas(run, "doc_id long, n long, hi long, lo long, bits binary")
 
-    return docs.mapInPandas(run, "doc_id long, n long, hi long, lo long, sigs binary")
 
+def digest(hashes: np.ndarray) -> tuple[int, int]:
+    """A set's digest as two non-negative 63-bit integers."""
+    d = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return d >> 65, d & ((1 << 63) - 1)
 
-def _star(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts rows by signature and document; per row its document, the smallest of its signature, and its signature."""
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    new = np.concatenate([[True], sig[1:] != sig[:-1]])
-    return doc, doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))], sig
 
+SHORT = (1 << 48) - 1  # of a signature or class in a blob
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
 
+def _shared_signatures(docs: DataFrame, rules: JoinRules, flush: int = 2 << 20) -> DataFrame:
+    """(sig, short): the signatures that two or more classes share, with the last 48 bits of each class's digest.
+    ``flush``: signatures that a task holds before it sends them."""
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limits = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
 
-def _candidate_edges(profiles: DataFrame, flush: int = 4 << 20) -> DataFrame:
-    """Edges (a, b) that connect all documents with a common signature.
+    def packed(x: np.ndarray) -> bytes:
+        return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    Each task chains its own documents; of every signature only the smallest of them goes on, in blobs of 16 bytes a row to
-    the bucket of its signature. ``flush``: rows that a task holds before it sends them.
-    """
-    buckets = 4 * int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def unpacked(blob: bytes) -> np.ndarray:
+        x = np.zeros((len(blob) // 6, 8), np.uint8)
+        x[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+        return x.view("<u8").ravel()
+
+    def ordered(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((cls, sig))
+        sig, cls = sig[order], cls[order]
+        keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
+        return sig[keep], cls[keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands = Bands(rules)
         sigs: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        held = 0
-
-        def send() -> Iterator[pd.DataFrame]:
-            doc, center, sig = _star(np.concatenate(sigs), np.concatenate(ids))
-            inner = _distinct_pairs(doc, center)
-            yield pd.DataFrame({"bucket": -1, "sigs": inner["b"].to_numpy(np.int64).tobytes(), "docs": inner["a"].to_numpy(np.int64).tobytes()}, index=[0])
-            mine = np.concatenate([[True], sig[1:] != sig[:-1]])
-            sig, doc = sig[mine], doc[mine]
-            # sorted by signature, so the buckets (its leading bits) are slices
-            limits = np.searchsorted(sig, np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64))
-            parts = list(zip(np.split(sig, limits), np.split(doc, limits), strict=True))
-            yield pd.DataFrame([(k, x.tobytes(), y.tobytes()) for k, (x, y) in enumerate(parts) if len(x)], columns=["bucket", "sigs", "docs"])
+        classes: list[np.ndarray] = []
+        held, seen = 0, set()
+
+        def send() -> pd.DataFrame:
+            sig, cls = ordered(np.concatenate(sigs), np.concatenate(classes))
+            at = np.searchsorted(sig, limits)
+            parts = zip(np.split(sig, at), np.split(cls, at), strict=True)
+            return pd.DataFrame([(k, packed(x), packed(y)) for k, (x, y) in enumerate(parts) if len(x)], columns=["bucket", "sigs", "classes"])
 
         for pdf in batches:
-            for doc, blob in zip(pdf["doc_id"], pdf["sigs"], strict=True):
-                got = np.frombuffer(blob, np.uint64)
+            for text in pdf["text"]:
+                s = shingles(text, rules.width)
+                if not len(s):
+                    continue
+                cls = digest(s)[1]
+                if cls in seen:  # a copy of a text in this round
+                    continue
+                seen.add(cls)
+                got = signatures(s, bands, rules)
                 sigs.append(got)
-                ids.append(np.full(len(got), doc, np.int64))
+                classes.append(np.full(len(got), cls & SHORT, np.uint64))
                 held += len(got)
                 if held >= flush:
-                    yield from send()
-                    sigs, ids, held = [], [], 0
+                    yield send()
+                    sigs, classes, held = [], [], 0
+                    seen.clear()
         if held:
-            yield from send()
+            yield send()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, center, _ = _star(np.frombuffer(b"".join(pdf["sigs"]), np.uint64), np.frombuffer(b"".join(pdf["docs"]), np.int64))
-        return _distinct_pairs(doc, center)
+        sig, cls = ordered(np.concatenate([unpacked(x) for x in pdf["sigs"]]), np.concatenate([unpacked(x) for x in pdf["classes"]]))
+        new = np.concatenate([[True], sig[1:] != sig[:-1]])
+        group = np.cumsum(new) - 1
+        shared = np.bincount(group)[group] > 1
+        # the bucket's number stands for the bits that the blobs leave out
+        return pd.DataFrame({"sig": (sig[shared].astype(np.int64) & ((1 << 47) - 1)) + (int(pdf["bucket"].iloc[0]) << 47), "short": cls[shared].astype(np.int64)})
+
+    rows = docs.select("text").mapInPandas(run, "bucket int, sigs binary, classes binary")
+    return rows.groupBy("bucket").applyInPandas(meet, "sig long, short long")
+
+
+def _in_tiles(rows: DataFrame, group: str, sizes: DataFrame, payload: str, rules: JoinRules) -> DataFrame:
+    """``rows`` (group, id, n, payload) dealt into tiles (group, l1, c1, l2, c2) with the side of each row in its tile.
+    ``sizes``: (group, blocks) of the groups that take more than one cell."""
+    dealt = rows.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100.0 / rules.threshold)) * 1.0001)).cast("int")
+    dealt = dealt.withColumn("level", F.when(F.col("blocks") == 1, 0).otherwise(band))
+    dealt = dealt.withColumn("cell", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    # a tile is (lower level, its cell, upper level, its cell); in one level the smaller cell comes first
+    cells = F.sequence(F.lit(0), F.col("blocks") - 1)
+    same = F.transform(cells, lambda c: F.struct(F.col("level").alias("l1"), F.least(c, F.col("cell")).alias("c1"), F.col("level").alias("l2"), F.greatest(c, F.col("cell")).alias("c2"), (F.col("cell") > c).cast("int").alias("side")))
+    up = F.transform(cells, lambda c: F.struct(F.col("level").alias("l1"), F.col("cell").alias("c1"), (F.col("level") + 1).alias("l2"), c.alias("c2"), F.lit(0).alias("side")))
+    down = F.transform(cells, lambda c: F.struct((F.col("level") - 1).alias("l1"), c.alias("c1"), F.col("level").alias("l2"), F.col("cell").alias("c2"), F.lit(1).alias("side")))
+    tiles = F.when(F.col("blocks") == 1, same).otherwise(F.concat(same, up, down))
+    return dealt.select(group, "id", "n", payload, F.explode(tiles).alias("t")).select(group, "id", "n", payload, "t.*")
+
+
+def _sides(pdf: pd.DataFrame) -> np.ndarray | None:
+    """Sides of a tile's rows; None if one side of a tile of two cells is empty, which leaves nothing to compare."""
+    side = pdf["side"].to_numpy(np.int64)
+    if pdf["l1"].iloc[0] == pdf["l2"].iloc[0] and pdf["c1"].iloc[0] == pdf["c2"].iloc[0]:
+        return np.zeros(len(side), np.int64)
+    return None if side.all() or not side.any() else side
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x, y in zip(pdf["sigs"], pdf["docs"], strict=True):
-                yield pd.DataFrame({"a": np.frombuffer(y, np.int64), "b": np.frombuffer(x, np.int64)})
 
-    rows = profiles.mapInPandas(run, "bucket int, sigs binary, docs binary")
-    across = rows.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, "a long, b long")
-    return rows.where("bucket < 0").mapInPandas(unpack, "a long, b long").union(across)
+def _pairs(ids: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"], dtype="int64")
+
+
+TILE = ["l1", "c1", "l2", "c2"]
+
+
+def _bitmap_edges(shared: DataFrame, classes: DataFrame, rules: JoinRules) -> DataFrame:
+    """Edges (a, b) between representatives that share a signature and pass the bitmap bound."""
+    found = shared.join(classes.select(F.col("lo").bitwiseAND(F.lit(SHORT)).alias("short"), F.col("rep").alias("id"), "n", "bits"), "short").drop("short")
+    sizes = found.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rules.cell_docs).select("sig", F.ceil(F.col("c") / F.lit(rules.cell_docs)).cast("int").alias("blocks"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[tuple[int, int]] = set()
+        for key, pdf in _runs(batches, ["sig", *TILE]):
+            side = _sides(pdf)
+            if side is None or len(pdf) < 2:
+                continue
+            bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+            edges = [(a, b) for a, b in _pairs(pdf["id"].to_numpy(np.int64), link_tile(pdf["n"].to_numpy(np.int64), bits, side, rules)).itertuples(index=False) if (a, b) not in done]
+            if edges:
+                if len(done) > 1_000_000:
+                    done.clear()
+                done.update(edges)
+                yield pd.DataFrame(edges, columns=["a", "b"])
+
+    tiled = _in_tiles(found, "sig", sizes, "bits", rules)
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiled.repartition(parts, "sig", *TILE).sortWithinPartitions("sig", *TILE).mapInPandas(compare, "a long, b long")
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Groups of sorted rows, also where batches cut them; holds one group and one batch."""
+    rest: pd.DataFrame | None = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        k = rest[keys].to_numpy(np.int64)
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if len(cuts):
+            for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
+                yield tuple(k[a]), rest.iloc[a:b]
+            rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
+    if rest is not None:
+        yield tuple(rest[keys].iloc[0]), rest
 
 
 def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
-    """Links (a, b) inside the families; ``family``: (doc_id, family, n) of the classes' representatives."""
+    """Exact links (a, b) inside the families; ``family``: (doc_id, family, n) of representatives."""
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), (F.sum("n") * 8).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("docs") / F.lit(rules.cell_docs)), F.ceil(F.col("bytes") / F.lit(rules.cell_bytes))).cast("int")
-    placed = family.join(sizes.select("family", blocks.alias("blocks")), "family")
-    texts = docs.join(placed, "doc_id").select("doc_id", "text", "family", "blocks", "n").dropDuplicates(["doc_id"])
-
-    # a large family's cells: size bands as wide as a link allows, and hash blocks in them
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100.0 / rules.threshold)) * 1.0001)).cast("int")
-    cell = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    level = F.when(F.col("blocks") == 1, 0).otherwise(band)
-    dealt = texts.withColumn("level", level).withColumn("cell", cell)
-    # a tile is (lower level, its cell, upper level, its cell); in one level the smaller cell comes first
-    all_cells = F.sequence(F.lit(0), F.col("blocks") - 1)
-    same = F.transform(all_cells, lambda c: F.struct(F.col("level").alias("l1"), F.least(c, F.col("cell")).alias("c1"), F.col("level").alias("l2"), F.greatest(c, F.col("cell")).alias("c2"), (F.col("cell") > c).cast("int").alias("side")))
-    up = F.transform(all_cells, lambda c: F.struct(F.col("level").alias("l1"), F.col("cell").alias("c1"), (F.col("level") + 1).alias("l2"), c.alias("c2"), F.lit(0).alias("side")))
-    down = F.transform(all_cells, lambda c: F.struct((F.col("level") - 1).alias("l1"), c.alias("c1"), F.col("level").alias("l2"), F.col("cell").alias("c2"), F.lit(1).alias("side")))
-    tiles = F.when(F.col("blocks") == 1, same).otherwise(F.concat(same, up, down))
-    tiled = dealt.select("doc_id", "text", "family", F.explode(tiles).alias("t")).select("doc_id", "text", "family", "t.*")
+    sizes = sizes.select("family", blocks.alias("blocks")).where("blocks > 1")
+    texts = docs.join(family, "doc_id").select("family", F.col("doc_id").alias("id"), "n", "text").dropDuplicates(["id"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t, rules.width) for t in pdf["text"]]
-        ids = pdf["doc_id"].to_numpy(np.int64)
-        crosses = pdf["l1"].iloc[0] != pdf["l2"].iloc[0] or pdf["c1"].iloc[0] != pdf["c2"].iloc[0]
-        side = pdf["side"].to_numpy(np.int64)
-        if crosses and (side.all() or not side.any()):
+        side = _sides(pdf)
+        if side is None:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        pairs = link_tile(sets, side if crosses else np.zeros(len(ids), np.int64), rules)
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
+        sets = [shingles(t, rules.width) for t in pdf["text"]]
+        size = np.array([len(s) for s in sets], np.int64)
+        return _pairs(pdf["id"].to_numpy(np.int64), link_tile(size, bitmaps(sets, rules.words64), side, rules, sets))
 
-    return tiled.groupBy("family", "l1", "c1", "l2", "c2").applyInPandas(compare, "a long, b long")
+    return _in_tiles(texts, "family", sizes, "text", rules).groupBy("family", *TILE).applyInPandas(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    """One row per input row with an id: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text"))
     keyed = texts.where("doc_id is not null")
     profiles = cut_lineage(_profiles(keyed, rules))
-    classes = profiles.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    family = connected_components(_candidate_edges(profiles.where("n > 0").select("doc_id", "sigs")))
-    reps = profiles.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = reps.join(family, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("family"), "n")
-    alone = members.groupBy("family").agg(F.count(F.lit(1)).alias("reps")).where("reps = 1").select("family")
-    members = cut_lineage(members.join(alone, "family", "left_anti").dropDuplicates(["doc_id"]))  # copies of one text need no tile
-    linked = connected_components(_links(keyed, members, rules))
+    filled = profiles.where("n > 0")
+    classes = cut_lineage(filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    family = connected_components(_bitmap_edges(_shared_signatures(keyed, rules), classes, rules))
+    members = classes.select(F.col("rep").alias("doc_id"), "n").join(family, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("family"), "n")
+    linked = connected_components(_links(keyed, cut_lineage(members.dropDuplicates(["doc_id"])), rules))
     grouped = classes.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
-    held = profiles.where("n > 0").select("doc_id", "n", "hi", "lo").join(grouped, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    held = filled.select("doc_id", "n", "hi", "lo").join(grouped, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     bare = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return held.unionByName(bare)
