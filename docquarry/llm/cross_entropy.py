@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, cut_lineage, encoded, hash_fraction, slices_by_bytes
@@ -66,15 +66,17 @@ def count_grams(rows: DataFrame, order: int, held: int = 4 << 20) -> DataFrame:
     return found.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def learn_pair(docs: DataFrame, is_target: Column, order: int = 4, max_grams: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> PPM | None:
-    """``is_target``: a boolean over ``docs``. None if there is no target text."""
-    texts = docs.select(col(docs, text_col).alias("text"), F.coalesce(is_target, F.lit(False)).alias("in_target"), hash_fraction(col(docs, id_col)).alias("draw"))
-    texts = texts.where("text is not null and text <> ''")
-    size = F.octet_length("text").cast("long")
-    sums = texts.agg(F.sum(F.when(F.col("in_target"), size)).alias("target"), F.sum(size).alias("all")).collect()[0]  # one row
+def learn_pair(docs: DataFrame, targets: DataFrame, order: int = 4, max_grams: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> PPM | None:
+    """``targets``: its first column holds the ids of the target documents. None if there is no target text."""
+    ids = targets.select(col(targets, targets.columns[0]).alias("id")).where("id is not null").distinct().withColumn("in_target", F.lit(True)).hint("merge")
+    text = col(docs, text_col)
+    texts = docs.where(text.isNotNull() & (text != "")).select(col(docs, id_col).alias("id"), text.alias("text"))
+    sizes = texts.select("id", F.octet_length("text").cast("long").alias("size")).join(ids, "id", "left")
+    sums = sizes.agg(F.sum(F.when(F.col("in_target"), F.col("size"))).alias("target"), F.sum("size").alias("all")).collect()[0]  # one row
     if not sums["target"]:
         return None
-    rows = texts.select("text", "in_target", (F.col("draw") < sums["target"] / sums["all"]).alias("in_background")).where("in_target or in_background")
+    marked = texts.join(ids, "id", "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"), (hash_fraction(F.col("id")) < sums["target"] / sums["all"]).alias("in_background"))
+    rows = marked.where("in_target or in_background")
     counts = cut_lineage(count_grams(rows, order))
     # the lowest frequency class that still fits; classes are powers of two, so this is a few dozen rows
     classes = counts.groupBy(F.floor(F.log2(F.col("target") + F.col("background"))).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()

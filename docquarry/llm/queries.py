@@ -44,9 +44,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that ``labels`` marks as good."""
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
-    return cross_entropy_difference(docs, learn_pair(marked, F.col("good")))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(docs, learn_pair(docs, good))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
