@@ -74,3 +74,20 @@ def slices_by_bytes(texts: pd.Series, limit: int = 4 << 20) -> Iterator[pd.Serie
         total += int(n)
     if start < len(texts):
         yield texts.iloc[start:]
+
+
+def sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Groups of sorted rows, also where batches cut them; holds one group and one batch."""
+    rest: pd.DataFrame | None = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        k = rest[keys].to_numpy(np.int64)
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if len(cuts):
+            for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
+                yield tuple(k[a]), rest.iloc[a:b]
+            rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
+    if rest is not None:
+        yield tuple(rest[keys].iloc[0]), rest

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, encoded, slices_by_bytes
+from .common import col, cut_lineage, encoded, slices_by_bytes, sorted_runs
 from .components import connected_components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -298,7 +298,7 @@ def _bitmap_edges(shared: DataFrame, classes: DataFrame, rules: JoinRules) -> Da
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[tuple[int, int]] = set()
-        for key, pdf in _runs(batches, ["sig", *TILE]):
+        for key, pdf in sorted_runs(batches, ["sig", *TILE]):
             side = _sides(pdf)
             if side is None or len(pdf) < 2:
                 continue
@@ -315,23 +315,6 @@ def _bitmap_edges(shared: DataFrame, classes: DataFrame, rules: JoinRules) -> Da
     return tiled.repartition(parts, "sig", *TILE).sortWithinPartitions("sig", *TILE).mapInPandas(compare, "a long, b long")
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Groups of sorted rows, also where batches cut them; holds one group and one batch."""
-    rest: pd.DataFrame | None = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        k = rest[keys].to_numpy(np.int64)
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        if len(cuts):
-            for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
-                yield tuple(k[a]), rest.iloc[a:b]
-            rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
-    if rest is not None:
-        yield tuple(rest[keys].iloc[0]), rest
-
-
 def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
     """Exact links (a, b) inside the families; ``family``: (doc_id, family, n) of representatives."""
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), (F.sum("n") * 8).alias("bytes"))

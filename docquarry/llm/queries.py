@@ -14,6 +14,7 @@ from .compression_bands import compression_bands
 from .cross_entropy import cross_entropy_difference, learn_pair
 from .gam_quality import AdditiveModel, learn_quality, score_quality
 from .jaccard_join import jaccard_components
+from .nn_descent import nearest
 from .packing import best_fit_packing
 from .ppm_language import PPM, identify_languages, learn_languages
 from .sharding import byte_shards
@@ -36,6 +37,10 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
@@ -77,6 +82,7 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_ppm_language": op2_ppm_language,
+    "op3_nn_descent": op3_nn_descent,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_cross_entropy": op5_cross_entropy,
     "op6_substring_dedup": op6_substring_dedup,
