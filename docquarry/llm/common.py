@@ -76,8 +76,8 @@ def slices_by_bytes(texts: pd.Series, limit: int = 4 << 20) -> Iterator[pd.Serie
         yield texts.iloc[start:]
 
 
-def sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Groups of sorted rows, also where batches cut them; holds one group and one batch."""
+def sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Groups of sorted rows (key, columns as arrays), also where batches cut them; holds one group and one batch."""
     rest: pd.DataFrame | None = None
     for pdf in batches:
         if pdf.empty:
@@ -86,8 +86,9 @@ def sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tu
         k = rest[keys].to_numpy(np.int64)
         cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
         if len(cuts):
-            for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
-                yield tuple(k[a]), rest.iloc[a:b]
+            columns = {c: rest[c].to_numpy() for c in rest.columns}
+            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                yield tuple(k[a].tolist()), {c: v[a:b] for c, v in columns.items()}
             rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
     if rest is not None:
-        yield tuple(rest[keys].iloc[0]), rest
+        yield tuple(rest[keys].iloc[0].tolist()), {c: rest[c].to_numpy() for c in rest.columns}

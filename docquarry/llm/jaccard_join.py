@@ -46,14 +46,14 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 @dataclass(frozen=True)
 class JoinRules:
     """``threshold``: percent; ``width``: words in a shingle; ``growth``: ratio of the size bands that candidates use, in
-    percent; ``cell_docs`` and ``cell_bytes``: bounds of a cell of a tile; ``words64``: bitmap size in 64-bit words."""
+    percent; ``cell_docs`` and ``cell_bytes``: bounds of a cell of a tile; ``least_bits``: of a bitmap, a power of two, 64 at least."""
 
     threshold: int = 85
     width: int = 4
     growth: int = 150
     cell_docs: int = 1024
-    cell_bytes: int = 24 << 20
-    words64: int = 16
+    cell_bytes: int = 64 << 20
+    least_bits: int = 256
 
     def most_apart(self, total: int) -> int:
         """Largest symmetric difference of two linked sets whose sizes sum to ``total``."""
@@ -125,13 +125,19 @@ def signatures(hashes: np.ndarray, bands: Bands, rules: JoinRules) -> np.ndarray
     return np.concatenate(out)
 
 
-def bitmaps(sets: list[np.ndarray], words64: int) -> np.ndarray:
-    """Parity bitmaps: a bit tells whether an odd number of a set's hashes fall on it. Sets that differ in d hashes differ in
-    at most d bits."""
-    out = np.zeros((len(sets), words64 * 64), np.uint8)
-    for row, s in zip(out, sets, strict=True):
-        row[:] = np.bincount((s >> np.uint64(20)).astype(np.int64) % (words64 * 64), minlength=words64 * 64) & 1
-    return np.packbits(out, axis=1).view(np.uint64)
+def bitmap(hashes: np.ndarray, least: int) -> np.ndarray:
+    """Parity bitmap as 64-bit words: a bit tells whether an odd number of the hashes fall on it, so sets that differ in d
+    hashes differ in at most d bits. As many bits as hashes, rounded up to a power of two, ``least`` at least."""
+    size = max(least, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 1)
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer words: halves laid over each other."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -143,22 +149,32 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def link_tile(size: np.ndarray, bits: np.ndarray, side: np.ndarray, rules: JoinRules, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a tile, as index pairs: of the pairs that the bitmaps let pass, or with ``sets`` of
-    the exact links. ``side``: 0 or 1; if both occur, only pairs of different sides are compared."""
+def link_tile(size: np.ndarray, maps: list[np.ndarray], side: np.ndarray, rules: JoinRules, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links in a tile, as index pairs: of the pairs that the bitmaps ``maps`` let pass, or with
+    ``sets`` of the exact links. ``side``: 0 or 1; if both occur, only pairs of different sides are compared."""
     order = np.argsort(size, kind="stable")
-    size, bits, sides = size[order], bits[order], side[order]
+    size, sides = size[order], side[order]
+    maps = [maps[i] for i in order.tolist()]
     crossing = bool(sides.any()) and not bool(sides.all())
     root = np.arange(len(order))
     links = []
+    table = np.empty((0, 0), np.uint64)
+    begin = 0  # row 0 of ``table`` in the order
     for i in range(1, len(order)):
         first = int(np.searchsorted(100 * size[:i], rules.threshold * size[i]))
+        if first == i:
+            continue
+        words = len(maps[first])  # maps grow with the sets, so this is the shortest of those compared
+        if table.shape[1] != words or begin > first:
+            begin = first
+            table = np.stack([folded(m, words) for m in maps[first:] if len(m) <= 4 * words])
         near = np.arange(first, i)
+        near = near[root[near] != root[i]]
         if crossing:
             near = near[sides[near] != sides[i]]
         if not len(near):
             continue
-        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(table[near - begin] ^ table[i - begin]).sum(axis=1, dtype=np.int64)
         fits = apart <= (size[near] + size[i]) * (100 - rules.threshold) // (100 + rules.threshold)
         near, apart = near[fits], apart[fits]
         for j in near[np.argsort(apart, kind="stable")].tolist():
@@ -181,7 +197,7 @@ def _profiles(docs: DataFrame, rules: JoinRules) -> DataFrame:
             for part in slices_by_bytes(pdf["text"]):
                 sets = [shingles(t, rules.width) for t in part]
                 digests = [digest(s) for s in sets]
-                bits = [b.tobytes() for b in bitmaps(sets, rules.words64)]
+                bits = [bitmap(s, rules.least_bits).tobytes() for s in sets]
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].loc[part.index].to_numpy(), "n": [len(s) for s in sets], "hi": [d[0] for d in digests], "lo": [d[1] for d in digests], "bits": bits})
 
     return docs.mapInPandas(run, "doc_id long, n long, hi long, lo long, bits binary")
@@ -197,7 +213,8 @@ SHORT = (1 << 48) - 1  # of a signature or class in a blob
 
 
 def _shared_signatures(docs: DataFrame, rules: JoinRules, flush: int = 2 << 20) -> DataFrame:
-    """(sig, short): the signatures that two or more classes share, with the last 48 bits of each class's digest.
+    """(group, short): the groups of two or more classes that share a signature, each once, with the last 48 bits of each
+    class's digest.
     ``flush``: signatures that a task holds before it sends them."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limits = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
@@ -250,14 +267,17 @@ def _shared_signatures(docs: DataFrame, rules: JoinRules, flush: int = 2 << 20)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         sig, cls = ordered(np.concatenate([unpacked(x) for x in pdf["sigs"]]), np.concatenate([unpacked(x) for x in pdf["classes"]]))
-        new = np.concatenate([[True], sig[1:] != sig[:-1]])
-        group = np.cumsum(new) - 1
-        shared = np.bincount(group)[group] > 1
-        # the bucket's number stands for the bits that the blobs leave out
-        return pd.DataFrame({"sig": (sig[shared].astype(np.int64) & ((1 << 47) - 1)) + (int(pdf["bucket"].iloc[0]) << 47), "short": cls[shared].astype(np.int64)})
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        counts = np.diff(np.append(starts, len(sig)))
+        # groups with the same members say the same; a group's name is a sum over them
+        name = np.add.reduceat(mixed(cls ^ _MIX), starts) if len(cls) else np.empty(0, np.uint64)
+        shared = np.flatnonzero(counts > 1)
+        shared = shared[np.unique(name[shared], return_index=True)[1]]
+        rows = np.repeat(starts[shared] - np.concatenate([[0], np.cumsum(counts[shared])[:-1]]), counts[shared]) + np.arange(counts[shared].sum()) if len(shared) else np.empty(0, np.int64)
+        return pd.DataFrame({"group": np.repeat(name[shared].view(np.int64), counts[shared]), "short": cls[rows].astype(np.int64)})
 
-    rows = docs.select("text").mapInPandas(run, "bucket int, sigs binary, classes binary")
-    return rows.groupBy("bucket").applyInPandas(meet, "sig long, short long")
+    found = docs.select("text").mapInPandas(run, "bucket int, sigs binary, classes binary")
+    return found.groupBy("bucket").applyInPandas(meet, "group long, short long").distinct()
 
 
 def _in_tiles(rows: DataFrame, group: str, sizes: DataFrame, payload: str, rules: JoinRules) -> DataFrame:
@@ -276,10 +296,9 @@ def _in_tiles(rows: DataFrame, group: str, sizes: DataFrame, payload: str, rules
     return dealt.select(group, "id", "n", payload, F.explode(tiles).alias("t")).select(group, "id", "n", payload, "t.*")
 
 
-def _sides(pdf: pd.DataFrame) -> np.ndarray | None:
+def _sides(side: np.ndarray, l1: int, c1: int, l2: int, c2: int) -> np.ndarray | None:
     """Sides of a tile's rows; None if one side of a tile of two cells is empty, which leaves nothing to compare."""
-    side = pdf["side"].to_numpy(np.int64)
-    if pdf["l1"].iloc[0] == pdf["l2"].iloc[0] and pdf["c1"].iloc[0] == pdf["c2"].iloc[0]:
+    if l1 == l2 and c1 == c2:
         return np.zeros(len(side), np.int64)
     return None if side.all() or not side.any() else side
 
@@ -293,26 +312,33 @@ TILE = ["l1", "c1", "l2", "c2"]
 
 def _bitmap_edges(shared: DataFrame, classes: DataFrame, rules: JoinRules) -> DataFrame:
     """Edges (a, b) between representatives that share a signature and pass the bitmap bound."""
+    shared = cut_lineage(shared)
     found = shared.join(classes.select(F.col("lo").bitwiseAND(F.lit(SHORT)).alias("short"), F.col("rep").alias("id"), "n", "bits"), "short").drop("short")
-    sizes = found.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rules.cell_docs).select("sig", F.ceil(F.col("c") / F.lit(rules.cell_docs)).cast("int").alias("blocks"))
+    sizes = shared.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rules.cell_docs).select("group", F.ceil(F.col("c") / F.lit(rules.cell_docs)).cast("int").alias("blocks"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[tuple[int, int]] = set()
-        for key, pdf in sorted_runs(batches, ["sig", *TILE]):
-            side = _sides(pdf)
-            if side is None or len(pdf) < 2:
+        edges: list[tuple[int, int]] = []
+        for (_, *tile), rows in sorted_runs(batches, ["group", *TILE]):
+            side = _sides(rows["side"], *tile)
+            if side is None or len(side) < 2:
                 continue
-            bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-            edges = [(a, b) for a, b in _pairs(pdf["id"].to_numpy(np.int64), link_tile(pdf["n"].to_numpy(np.int64), bits, side, rules)).itertuples(index=False) if (a, b) not in done]
-            if edges:
+            ids = rows["id"].tolist()
+            for i, j in link_tile(rows["n"], [np.frombuffer(b, np.uint64) for b in rows["bits"]], side, rules):
+                pair = (ids[i], ids[j])
+                if pair not in done:
+                    done.add(pair)
+                    edges.append(pair)
+            if len(edges) >= 100_000:
+                yield pd.DataFrame(edges, columns=["a", "b"])
+                edges = []
                 if len(done) > 1_000_000:
                     done.clear()
-                done.update(edges)
-                yield pd.DataFrame(edges, columns=["a", "b"])
+        yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    tiled = _in_tiles(found, "sig", sizes, "bits", rules)
+    tiled = _in_tiles(found, "group", sizes, "bits", rules)
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiled.repartition(parts, "sig", *TILE).sortWithinPartitions("sig", *TILE).mapInPandas(compare, "a long, b long")
+    return tiled.repartition(parts, "group", *TILE).sortWithinPartitions("group", *TILE).mapInPandas(compare, "a long, b long")
 
 
 def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
@@ -323,12 +349,12 @@ def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
     texts = docs.join(family, "doc_id").select("family", F.col("doc_id").alias("id"), "n", "text").dropDuplicates(["id"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = _sides(pdf)
+        side = _sides(pdf["side"].to_numpy(), *pdf[TILE].iloc[0])
         if side is None:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [shingles(t, rules.width) for t in pdf["text"]]
         size = np.array([len(s) for s in sets], np.int64)
-        return _pairs(pdf["id"].to_numpy(np.int64), link_tile(size, bitmaps(sets, rules.words64), side, rules, sets))
+        return _pairs(pdf["id"].to_numpy(np.int64), link_tile(size, [bitmap(s, rules.least_bits) for s in sets], side, rules, sets))
 
     return _in_tiles(texts, "family", sizes, "text", rules).groupBy("family", *TILE).applyInPandas(compare, "a long, b long")
 

@@ -66,7 +66,7 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInPandas(run, "vec_id long, dim int, vec binary, hi long, lo long").dropDuplicates(["vec_id"])
 
 
-def _matrix(blobs: pd.Series, kind: str) -> np.ndarray:
+def _matrix(blobs, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
@@ -87,7 +87,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndar
     return ids[order], sims[order]
 
 
-def _lists(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+def _lists(pdf) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.frombuffer(a, np.int64), np.frombuffer(b, np.float32)) for a, b in zip(pdf["near"], pdf["sims"], strict=True)]
 
 
@@ -153,11 +153,11 @@ def _offers(members: DataFrame, rules: GraphRules, parts: int) -> DataFrame:
             return pd.DataFrame(out, columns=["id", "near", "sims"])
 
         for _, pdf in sorted_runs(batches, ["pivot"]):
-            ids, first = np.unique(pdf["id"].to_numpy(np.int64), return_index=True)
+            ids, first = np.unique(pdf["id"], return_index=True)
             if len(ids) < 2:
                 continue
-            x = _matrix(pdf["wide"].iloc[first], "<f2").astype(np.float32)
-            bar = pdf["bar"].to_numpy(np.float32)[first]
+            x = _matrix(pdf["wide"][first], "<f2").astype(np.float32)
+            bar = pdf["bar"][first].astype(np.float32)
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
             top = _best(s, rules.offers)
@@ -271,11 +271,12 @@ def search_graph(index: DataFrame, starts: DataFrame, k: int, rules: GraphRules)
         """Per query: its state (kind 0; ``more``: all ids asked for so far) and answers (kind 2) give the next state and requests."""
         out = []
         for (node,), pdf in sorted_runs(batches, ["id"]):
-            state = pdf[pdf["kind"] == 0].iloc[0]
-            found = pdf[pdf["kind"] == 2]
+            at = int(np.flatnonzero(pdf["kind"] == 0)[0])
+            state = {c: v[at] for c, v in pdf.items()}
+            found = np.flatnonzero(pdf["kind"] == 2)
             parts_ = [(np.frombuffer(state["near"], np.int64), np.frombuffer(state["sims"], np.float64))]
             offered: dict[int, np.ndarray] = {}
-            for near, sims, more in zip(found["near"], found["sims"], found["more"], strict=True):
+            for near, sims, more in zip(pdf["near"][found], pdf["sims"][found], pdf["more"][found], strict=True):
                 got = np.frombuffer(near, np.int64)
                 parts_.append((got, np.frombuffer(sims, np.float64)))
                 sizes = np.frombuffer(more, np.int64, len(got))
