@@ -34,7 +34,8 @@ from .common import col, cut_lineage, sorted_runs
 class GraphRules:
     """``neighbours``: length of a list; ``reverse``: pointing nodes that join in; ``offers``: best partners that a node is
     offered in one comparison; ``block``: nodes compared with each other at the start, ``starts`` times; ``rounds`` at most,
-    fewer if under ``settled`` of the lists' entries change; ``beam``: nodes that a search keeps open."""
+    fewer if under ``settled`` of the lists' entries change; ``beam``: nodes that a search keeps open; ``index_block``: nodes
+    in a block of the index, about."""
 
     neighbours: int = 24
     reverse: int = 24
@@ -45,6 +46,7 @@ class GraphRules:
     settled: float = 0.02
     beam: int = 240
     hops: int = 12
+    index_block: int = 2048
     seed: int = 11
 
 
@@ -223,8 +225,8 @@ def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
 STATE = "kind int, id long, block int, bar double, vec binary, near binary, sims binary, more binary"
 
 
-def search_graph(index: DataFrame, starts: DataFrame, k: int, rules: GraphRules) -> DataFrame:
-    """``index``: (block, id, vec, near), checkpointed. ``starts``: (id, vec, near): queries with the nodes to begin at. Returns
+def search_graph(index: DataFrame, blocks: int, starts: DataFrame, k: int, rules: GraphRules) -> DataFrame:
+    """``index``: (block, id, vec, near), checkpointed, in ``blocks`` blocks. ``starts``: (id, vec, near): queries with the nodes to begin at. Returns
     (id, near, sims): ids and scores of the best ``k`` nodes found per query, the query's own node among them if it is one."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     beam = max(rules.beam, k)
@@ -233,7 +235,7 @@ def search_graph(index: DataFrame, starts: DataFrame, k: int, rules: GraphRules)
     def requests(node: int, bar: float, vec: bytes, wanted: np.ndarray) -> list[tuple]:
         if not len(wanted):
             return []
-        at = block_of(wanted, parts)
+        at = block_of(wanted, blocks)
         return [(1, node, int(b), bar, vec, wanted[at == b].tobytes(), b"", b"") for b in np.unique(at)]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,7 +314,6 @@ def search_graph(index: DataFrame, starts: DataFrame, k: int, rules: GraphRules)
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules = GraphRules(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest other rows of every row for which ``is_query`` (an expression over ``vec_id``) holds: query_id, rank,
     vec_id, score."""
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut_lineage(_clean(vectors, id_col, vector_col))
     dims = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()  # one row
     rows = rows.where(F.col("dim") == (dims[0]["dim"] if dims else 0))
@@ -323,7 +324,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules
             yield pdf.assign(norm=[float(np.square(np.frombuffer(b, "<f8")).sum()) for b in pdf["vec"]])
 
     nodes = cut_lineage(classes.mapInPandas(norms, "hi long, lo long, id long, vec binary, norm double"))
-    most = nodes.agg(F.max("norm")).collect()[0][0] or 1.0  # one row
+    whole = nodes.agg(F.max("norm").alias("most"), F.count(F.lit(1)).alias("n")).collect()[0]  # one row
+    most, n_blocks = whole["most"] or 1.0, max(1, -(-whole["n"] // rules.index_block))
 
     def widen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -334,12 +336,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules
 
     graph = build_graph(cut_lineage(nodes.mapInPandas(widen, "id long, wide binary")), rules)
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = pdf["id"].to_numpy(np.int64)
-            yield pdf.assign(block=block_of(ids, parts))[["block", "id", "vec", "near"]]
+            yield pdf.assign(block=block_of(ids, n_blocks))[["block", "id", "vec", "near"]]
 
-    index = cut_lineage(nodes.join(graph, "id").select("id", "vec", "near").mapInPandas(blocks, "block int, id long, vec binary, near binary"))
+    index = cut_lineage(nodes.join(graph, "id").select("id", "vec", "near").mapInPandas(dealt, "block int, id long, vec binary, near binary"))
     member = rows.select("vec_id", "hi", "lo").join(nodes.select("hi", "lo", "id"), ["hi", "lo"]).select("vec_id", "id")
     queries = member.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("id"))
     starts = index.join(queries.select("id").distinct(), "id", "left_semi").select("id", "vec", "near")
@@ -348,7 +350,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules
         for pdf in batches:
             yield pdf.assign(near=[np.int64(i).tobytes() + b for i, b in zip(pdf["id"], pdf["near"], strict=True)])
 
-    found = search_graph(index, starts.mapInPandas(with_self, "id long, vec binary, near binary"), k + 1, rules)
+    found = search_graph(index, n_blocks, starts.mapInPandas(with_self, "id long, vec binary, near binary"), k + 1, rules)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
