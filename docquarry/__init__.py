@@ -1,0 +1 @@
+"""Document lakehouse on Spark: document filters, projections and pipelines over versioned Parquet tables."""
