@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import ValidationError
 from ..functions.paths import NESTED, NUMERIC, VARIANT, Field, quoted, resolve
+from ..sources.schema import to_frame
 from .filters import compile_filter
 from .projection import project
 
@@ -232,7 +233,7 @@ def _fold(source, pipeline, order, collation, spark) -> tuple[DataFrame, DataFra
     if not isinstance(source, DataFrame):
         spark = spark or SparkSession.getActiveSession()
         rows = [dict(r) | {f"{HIDDEN}0": i} for i, r in enumerate(source)]
-        source = spark.createDataFrame(rows) if rows else spark.createDataFrame([], f"{HIDDEN}0 long")
+        source = to_frame(spark, rows) if rows else spark.createDataFrame([], f"{HIDDEN}0 long")
         state = _State(source, ((f"{HIDDEN}0", False),))
     else:
         df = source

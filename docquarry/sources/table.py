@@ -198,16 +198,19 @@ class Table:
         infer_schema(rows)
         return to_frame(self.spark, rows)
 
-    def _stage(self, df: DataFrame, schema: T.StructType, partitions: Sequence[str], names: Mapping[str, str], folder: str = DATA, data_change: bool = True, stats: bool = True, files_per_partition: int | None = None) -> list[Action]:
-        """Write data files and describe them. Not visible until a commit names them."""
+    def _stage(self, df: DataFrame, schema: T.StructType, partitions: Sequence[str], names: Mapping[str, str], folder: str = DATA, data_change: bool = True, stats: bool = True, keep_layout: bool = False) -> list[Action]:
+        """Write data files and describe them. Not visible until a commit names them. Rows of a partition meet in one task,
+        unless ``keep_layout``."""
         out = conform(df, schema)
         hidden = [f"{STAGED}{c}" for c in partitions]
         if partitions:
             out = out.select("*", *[F.col(quoted(c)).cast("string").alias(h) for c, h in zip(partitions, hidden, strict=True)])
-            out = out.repartition(*hidden) if files_per_partition is None else out.repartition(files_per_partition, *hidden)
+            if not keep_layout:
+                # a hint to rebalance: adaptive execution splits a large partition value over several tasks and files
+                out = out.hint("rebalance", *[F.col(h) for h in hidden])
         out = out.withColumnsRenamed(dict(names)) if names else out
         stage = f"{folder}/{uuid.uuid4().hex}"
-        writer = out.write.option("compression", self.compression)
+        writer = out.write.option("compression", self.compression).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         (writer.partitionBy(*hidden) if hidden else writer).parquet(f"{self.root}/{stage}")
         paths = [p for p in self.storage.list(stage) if p.endswith(".parquet")]
         found = self._statistics(paths, schema, names) if stats and paths else {}
@@ -285,10 +288,10 @@ class Table:
             raise ValidationError("a write needs one row at least", "rows", 0)
         return self._commit([*actions, *added], "WRITE", base)
 
-    def overwrite_files(self, snap: Snapshot, removed: Sequence[Mapping], df: DataFrame | None, operation: str, *, data_change: bool = True, extra: Sequence[Action] = (), files_per_partition: int | None = None, **info: object) -> int:
+    def overwrite_files(self, snap: Snapshot, removed: Sequence[Mapping], df: DataFrame | None, operation: str, *, data_change: bool = True, extra: Sequence[Action] = (), **info: object) -> int:
         """Replace files by new ones with the frame's rows, in one commit."""
         names = physical_names(snap.schema, snap.configuration)
-        added = [] if df is None else self._stage(df, snap.schema, snap.partition_columns, names, data_change=data_change, files_per_partition=files_per_partition)
+        added = [] if df is None else self._stage(df, snap.schema, snap.partition_columns, names, data_change=data_change)
         gone = [remove_action(f["path"], data_change) for f in removed]
         return self._commit([*extra, *gone, *added], operation, snap.version, **info)
 
