@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices_by_bytes
+from .common import col, newer_characters, slices_by_bytes
 
 
 class RankBitmap:
@@ -100,6 +100,7 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 300_000):
         self.ranks, self.pattern, self.cache_size = ranks, regex.compile(pattern), cache_size
+        self.newer = regex.compile(f"[{newer_characters()}]")
         self.tokens = {r: t for t, r in ranks.items()}
         self.table = MergeTable(ranks)
         self.single = np.full(256, -1, np.int64)
@@ -201,7 +202,13 @@ class ByteBPE:
         parts = text.split(" ")
         if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
             return parts[:1] + [" " + p for p in parts[1:]]
-        return self.pattern.findall(text)
+        return self.matches(text)
+
+    def matches(self, text: str) -> list[str]:
+        """The pattern's matches, one after the other. Characters newer than the libraries count as unassigned."""
+        if not self.newer.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self.newer.sub("\u0378", text))]
 
     def encode_slice(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -210,7 +217,7 @@ class ByteBPE:
             self.cache.clear()
         cache = self.cache
         new = list(set().union(*split) - cache.keys())
-        matches = [self.pattern.findall(u) for u in new]
+        matches = [self.matches(u) for u in new]
         whole = [[p.encode("utf-8", "surrogatepass") for p in m] for m in matches]
         todo = list({p for m in whole for p in m if p not in self.ranks})
         ids = dict(zip(todo, (a.tobytes() for a in self.merge(todo)), strict=True))

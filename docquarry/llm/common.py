@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,17 @@ def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+@functools.cache
+def newer_characters() -> str:
+    """A character class of the letters and numbers that the regex module knows and Python's own Unicode tables don't. The
+    tokenizer libraries have older tables as well and take these characters for unassigned ones."""
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    newer = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c)[0] not in "LN"]
+    starts = [c for i, c in enumerate(newer) if not i or newer[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(newer) if i + 1 == len(newer) or newer[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
 def slices_by_bytes(texts: pd.Series, limit: int = 4 << 20) -> Iterator[pd.Series]:
     """Consecutive pieces of a batch of about ``limit`` characters each, one text at least; bounds the Python objects alive at once."""
     size = texts.str.len().fillna(0).to_numpy(dtype=np.int64)

@@ -226,8 +226,9 @@ STATE = "kind int, id long, block int, bar double, vec binary, near binary, sims
 
 
 def search_graph(index: DataFrame, blocks: int, starts: DataFrame, k: int, rules: GraphRules) -> DataFrame:
-    """``index``: (block, id, vec, near), checkpointed, in ``blocks`` blocks. ``starts``: (id, vec, near): queries with the nodes to begin at. Returns
-    (id, near, sims): ids and scores of the best ``k`` nodes found per query, the query's own node among them if it is one."""
+    """``index``: (block, id, vec, near), checkpointed, in ``blocks`` blocks. ``starts``: (id, vec, near): queries with the nodes to begin at,
+    besides the node of the query's own id. Returns (q, id, score): the best ``k`` nodes found per query, the query's own
+    node among them if it is one."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     beam = max(rules.beam, k)
     names = ["kind", "id", "block", "bar", "vec", "near", "sims", "more"]
@@ -242,7 +243,7 @@ def search_graph(index: DataFrame, blocks: int, starts: DataFrame, k: int, rules
         for pdf in batches:
             out = []
             for node, vec, near in zip(pdf["id"], pdf["vec"], pdf["near"], strict=True):
-                wanted = np.unique(np.frombuffer(near, np.int64))
+                wanted = np.unique(np.append(np.frombuffer(near, np.int64), node))
                 out.append((0, node, -1, -np.inf, vec, b"", b"", wanted.tobytes()))
                 out += requests(node, -np.inf, vec, wanted)
             yield pd.DataFrame(out, columns=names)
@@ -304,11 +305,14 @@ def search_graph(index: DataFrame, blocks: int, starts: DataFrame, k: int, rules
         step = cut_lineage(step.where("kind = 0").union(answers).repartition(parts, "id").sortWithinPartitions("id").mapInPandas(advance, STATE))
         _reclaim(step)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "near": [b[: 8 * k] for b in pdf["near"]], "sims": [b[: 8 * k] for b in pdf["sims"]]})
+            near = [np.frombuffer(b, np.int64)[:k] for b in pdf["near"]]
+            sims = [np.frombuffer(b, np.float64)[:k] for b in pdf["sims"]]
+            if near:
+                yield pd.DataFrame({"q": np.repeat(pdf["id"].to_numpy(np.int64), [len(a) for a in near]), "id": np.concatenate(near), "score": np.concatenate(sims)})
 
-    return step.where("kind = 0").select("id", "near", "sims").mapInPandas(cut, LIST)
+    return step.where("kind = 0").select("id", "near", "sims").mapInPandas(spread, "q long, id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules = GraphRules(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -346,20 +350,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules
     queries = member.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("id"))
     starts = index.join(queries.select("id").distinct(), "id", "left_semi").select("id", "vec", "near")
 
-    def with_self(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(near=[np.int64(i).tobytes() + b for i, b in zip(pdf["id"], pdf["near"], strict=True)])
-
-    found = search_graph(index, n_blocks, starts.mapInPandas(with_self, "id long, vec binary, near binary"), k + 1, rules)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            near = [np.frombuffer(b, np.int64) for b in pdf["near"]]
-            sims = [np.frombuffer(b, np.float64) for b in pdf["sims"]]
-            if near:
-                yield pd.DataFrame({"q": np.repeat(pdf["id"].to_numpy(np.int64), [len(a) for a in near]), "id": np.concatenate(near), "score": np.concatenate(sims)})
-
-    hits = found.mapInPandas(spread, "q long, id long, score double")
+    hits = search_graph(index, n_blocks, starts, k + 1, rules)
     # of a node's equal vectors the k + 1 smallest ids are enough; the limit applies before the shuffle
     small = member.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
