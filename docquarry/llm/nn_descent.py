@@ -1,7 +1,8 @@
 """Approximate nearest neighbours for the inner product: NN-descent and greedy graph search.
 
-Equal vectors are one node. To turn the largest inner product into nearness, graph building adds a coordinate that gives all
-vectors the same norm; the search scores original vectors in double precision.
+Equal vectors are one node. Nearness is the inner product itself, in the graph too: long vectors are near to many, and the
+lists of others lead to them, as a search for the largest product needs. The search scores original vectors in double
+precision.
 
 Building: nodes meet in random blocks of bounded size for a first neighbour list. Then Spark joins repeat: every node gathers
 its neighbours and the nodes that have it as a neighbour, all of these are compared with each other, and each keeps the best
@@ -109,7 +110,7 @@ def _first_lists(nodes: DataFrame, n: int, salt: int, rules: GraphRules) -> Data
     return nodes.select("id", "wide", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).alias("b")).groupBy("b").applyInPandas(compare, LIST)
 
 
-def _keep_best(lists: DataFrame, rules: GraphRules, parts: int) -> DataFrame:
+def _keep_best(lists: DataFrame, rules: GraphRules, parts: int, files: int) -> DataFrame:
     """One list per node from several; ``changed``: entries that the list marked ``old`` (bit 1 of ``kind``) lacks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +124,7 @@ def _keep_best(lists: DataFrame, rules: GraphRules, parts: int) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=["id", "near", "sims", "changed"])
 
-    return lists.repartition(parts, "id").sortWithinPartitions("id").mapInPandas(run, LIST + ", changed int")
+    return lists.repartition(parts, "id").sortWithinPartitions("id").coalesce(files).mapInPandas(run, LIST + ", changed int")
 
 
 def _edges(graph: DataFrame) -> DataFrame:
@@ -184,16 +185,16 @@ def _reclaim(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def build_graph(nodes: DataFrame, rules: GraphRules = GraphRules()) -> DataFrame:
-    """``nodes``: (id, wide), checkpointed. Returns (id, near, sims): best neighbours first."""
+def build_graph(nodes: DataFrame, n: int, files: int, rules: GraphRules = GraphRules()) -> DataFrame:
+    """``nodes``: ``n`` rows (id, wide), checkpointed. Returns (id, near, sims), best neighbours first, in ``files`` parts at
+    most."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = nodes.count()
     starts = 1 if n <= rules.block else rules.starts
     first = None
     for salt in range(starts):
         lists = _first_lists(nodes, max(n, 1), rules.seed + salt, rules).withColumn("kind", F.lit(0))
         first = lists if first is None else first.union(lists)
-    graph = cut_lineage(_keep_best(first, rules, parts))
+    graph = cut_lineage(_keep_best(first, rules, parts, files))
     if n <= rules.block:
         return graph  # every node has met every other
     ranks = Window.partitionBy("v").orderBy(F.desc("s"), "u")
@@ -210,7 +211,7 @@ def build_graph(nodes: DataFrame, rules: GraphRules = GraphRules()) -> DataFrame
         bars = graph.mapInPandas(last_score, "id long, bar float")
         members = pairs.join(nodes.join(bars, "id"), "id").select("pivot", "id", "wide", "bar")
         lists = graph.select("id", "near", "sims", F.lit(1).alias("kind")).union(_offers(members, rules, parts).withColumn("kind", F.lit(0)))
-        graph = cut_lineage(_keep_best(lists, rules, parts))
+        graph = cut_lineage(_keep_best(lists, rules, parts, files))
         changed = graph.agg(F.sum("changed")).collect()[0][0] or 0  # one row
         _reclaim(graph)
         if changed < rules.settled * n * rules.neighbours:
@@ -225,8 +226,8 @@ def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
 STATE = "kind int, id long, block int, bar double, vec binary, near binary, sims binary, more binary"
 
 
-def search_graph(index: DataFrame, blocks: int, starts: DataFrame, k: int, rules: GraphRules) -> DataFrame:
-    """``index``: (block, id, vec, near), checkpointed, in ``blocks`` blocks. ``starts``: (id, vec, near): queries with the nodes to begin at,
+def search_graph(index: DataFrame, blocks: int, files: int, starts: DataFrame, k: int, rules: GraphRules) -> DataFrame:
+    """``index``: (block, id, vec, near), checkpointed, in ``blocks`` blocks; tables between rounds have ``files`` parts. ``starts``: (id, vec, near): queries with the nodes to begin at,
     besides the node of the query's own id. Returns (q, id, score): the best ``k`` nodes found per query, the query's own
     node among them if it is one."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -296,13 +297,13 @@ def search_graph(index: DataFrame, blocks: int, starts: DataFrame, k: int, rules
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    step = cut_lineage(starts.mapInPandas(begin, STATE))
+    step = cut_lineage(starts.coalesce(files).mapInPandas(begin, STATE))
     for _ in range(rules.hops):
         asks = step.where("kind = 1")
         if asks.isEmpty():
             break
         answers = index.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(answer, STATE)
-        step = cut_lineage(step.where("kind = 0").union(answers).repartition(parts, "id").sortWithinPartitions("id").mapInPandas(advance, STATE))
+        step = cut_lineage(step.where("kind = 0").union(answers).repartition(parts, "id").sortWithinPartitions("id").coalesce(files).mapInPandas(advance, STATE))
         _reclaim(step)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,34 +324,34 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules
     rows = rows.where(F.col("dim") == (dims[0]["dim"] if dims else 0))
     classes = rows.groupBy("hi", "lo").agg(F.min("vec_id").alias("id"), F.min("vec").alias("vec"))
 
+    n = classes.count()
+    files = max(8, -(-n // rules.index_block))  # of the small tables below
+
     def norms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(norm=[float(np.square(np.frombuffer(b, "<f8")).sum()) for b in pdf["vec"]])
 
-    nodes = cut_lineage(classes.mapInPandas(norms, "hi long, lo long, id long, vec binary, norm double"))
-    whole = nodes.agg(F.max("norm").alias("most"), F.count(F.lit(1)).alias("n")).collect()[0]  # one row
-    most, n_blocks = whole["most"] or 1.0, max(1, -(-whole["n"] // rules.index_block))
+    nodes = cut_lineage(classes.coalesce(files).mapInPandas(norms, "hi long, lo long, id long, vec binary, norm double"))
+    most = np.sqrt(nodes.agg(F.max("norm")).collect()[0][0] or 1.0)  # one row
+    n_blocks = max(1, -(-n // rules.index_block))
 
-    def widen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                x = _matrix(pdf["vec"], "<f8")
-                wide = np.concatenate([x, np.sqrt(np.maximum(0.0, most - pdf["norm"].to_numpy()))[:, None]], axis=1) / np.sqrt(most)
-                yield pd.DataFrame({"id": pdf["id"], "wide": [r.astype("<f2").tobytes() for r in wide]})
+            yield pd.DataFrame({"id": pdf["id"], "wide": [(np.frombuffer(b, "<f8") / most).astype("<f2").tobytes() for b in pdf["vec"]]})
 
-    graph = build_graph(cut_lineage(nodes.mapInPandas(widen, "id long, wide binary")), rules)
+    graph = build_graph(cut_lineage(nodes.mapInPandas(shorten, "id long, wide binary")), n, files, rules)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = pdf["id"].to_numpy(np.int64)
             yield pdf.assign(block=block_of(ids, n_blocks))[["block", "id", "vec", "near"]]
 
-    index = cut_lineage(nodes.join(graph, "id").select("id", "vec", "near").mapInPandas(dealt, "block int, id long, vec binary, near binary"))
+    index = cut_lineage(nodes.join(graph, "id").select("id", "vec", "near").coalesce(files).mapInPandas(dealt, "block int, id long, vec binary, near binary"))
     member = rows.select("vec_id", "hi", "lo").join(nodes.select("hi", "lo", "id"), ["hi", "lo"]).select("vec_id", "id")
     queries = member.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("id"))
     starts = index.join(queries.select("id").distinct(), "id", "left_semi").select("id", "vec", "near")
 
-    hits = search_graph(index, n_blocks, starts, k + 1, rules)
+    hits = search_graph(index, n_blocks, files, starts, k + 1, rules)
     # of a node's equal vectors the k + 1 smallest ids are enough; the limit applies before the shuffle
     small = member.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
