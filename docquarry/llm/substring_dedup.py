@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, encoded, free_name, slices_by_bytes
+from .common import col, cut_lineage, encoded, free_name, slices_by_bytes
 
 WINDOW = 16
 
@@ -47,6 +47,8 @@ def gear_table(seed: int) -> np.ndarray:
 
 def cuts(raws: list[bytes], rules: Chunking) -> list[list[int]]:
     """End positions of the chunks of each text."""
+    if not raws:
+        return []
     blank = b"\0" * WINDOW
     data = np.frombuffer(b"".join(r + blank for r in raws), np.uint8)
     h = gear_table(rules.seed)[data]
@@ -104,6 +106,7 @@ def repeated_chunks(docs: DataFrame, rules: Chunking, id_col: str, text_col: str
     """(doc_id, run, begin, end, digest, first_doc_id): the repeated chunks, with a number for each span in its document."""
     chunks = chunk_rows(docs, rules, id_col, text_col)
     firsts = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
+    firsts = cut_lineage(firsts)  # as a table of its own it joins with nothing between, which lets Spark split hot digests
     found = chunks.join(firsts, "digest")
     found = found.select("doc_id", F.shiftright("span", 8).alias("begin"), (F.shiftright("span", 8) + F.col("span").bitwiseAND(255)).alias("end"), "digest", "first_doc_id")
     by_place = Window.partitionBy("doc_id").orderBy("begin", "end", "digest")
