@@ -51,7 +51,7 @@ class JoinRules:
     threshold: int = 85
     width: int = 4
     growth: int = 150
-    cell_docs: int = 1024
+    cell_docs: int = 256
     cell_bytes: int = 64 << 20
     least_bits: int = 256
 
@@ -283,8 +283,9 @@ def _shared_signatures(docs: DataFrame, rules: JoinRules, flush: int = 2 << 20)
 def _in_tiles(rows: DataFrame, group: str, sizes: DataFrame, payload: str, rules: JoinRules) -> DataFrame:
     """``rows`` (group, id, n, payload) dealt into tiles (group, l1, c1, l2, c2) with the side of each row in its tile.
     ``sizes``: (group, blocks) of the groups that take more than one cell."""
-    dealt = rows.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100.0 / rules.threshold)) * 1.0001)).cast("int")
+    large = rows.join(sizes.select(group), group, "left_semi").groupBy(group).agg(F.collect_set(band).alias("levels"))  # a few dozen per group
+    dealt = rows.join(sizes.join(large, group), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("level", F.when(F.col("blocks") == 1, 0).otherwise(band))
     dealt = dealt.withColumn("cell", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     # a tile is (lower level, its cell, upper level, its cell); in one level the smaller cell comes first
@@ -292,7 +293,10 @@ def _in_tiles(rows: DataFrame, group: str, sizes: DataFrame, payload: str, rules
     same = F.transform(cells, lambda c: F.struct(F.col("level").alias("l1"), F.least(c, F.col("cell")).alias("c1"), F.col("level").alias("l2"), F.greatest(c, F.col("cell")).alias("c2"), (F.col("cell") > c).cast("int").alias("side")))
     up = F.transform(cells, lambda c: F.struct(F.col("level").alias("l1"), F.col("cell").alias("c1"), (F.col("level") + 1).alias("l2"), c.alias("c2"), F.lit(0).alias("side")))
     down = F.transform(cells, lambda c: F.struct((F.col("level") - 1).alias("l1"), c.alias("c1"), F.col("level").alias("l2"), F.col("cell").alias("c2"), F.lit(1).alias("side")))
-    tiles = F.when(F.col("blocks") == 1, same).otherwise(F.concat(same, up, down))
+    none = F.slice(same, 1, 0)
+    has = lambda level: F.array_contains("levels", level)
+    both = F.concat(same, F.when(has(F.col("level") + 1), up).otherwise(none), F.when(has(F.col("level") - 1), down).otherwise(none))
+    tiles = F.when(F.col("blocks") == 1, same).otherwise(both)
     return dealt.select(group, "id", "n", payload, F.explode(tiles).alias("t")).select(group, "id", "n", payload, "t.*")
 
 
