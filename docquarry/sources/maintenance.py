@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..errors import ConcurrencyError, StorageError, ValidationError
 from ..functions.morton import hilbert, interleave, spread
 from ..functions.paths import quoted
+from ..log import logger
 from ..operators.dedup import deduplicate_by_key, deduplicate_exact, duplicate_histogram
 from .log import now_ms, parse_stats, remove_action
 from .schema import physical_names
@@ -233,6 +234,7 @@ def vacuum(table: Table, retention_hours: float = RETENTION_HOURS, *, dry_run: b
             try:
                 table.storage.delete(path)
             except Exception as e:  # one file must not stop the others
+                logger().warning("%s can't be deleted: %s", path, e)
                 result.errors[path] = str(e)
                 continue
         result.deleted.append(path)

@@ -173,7 +173,7 @@ class Table:
         for part in spec["$and"]:
             validate_filter(part)
         snap = self.snapshot()
-        if not any(k in s for s in pipeline for k in ("$group", "$sort", "$limit", "$skip")):
+        if not _needs_order(pipeline):
             df = self._scan(snap, self._files(snap, spec))
             return aggregate(df, pipeline, collation=collation)
         pruned = dataclasses.replace(snap, files={f["path"]: f for f in self._files(snap, spec)})
@@ -338,31 +338,55 @@ class Table:
         metadata = {**snap.metadata, "schemaString": merge_schemas(snap.schema, kinds).json()}
         return dataclasses.replace(snap, metadata=metadata), [{"metaData": metadata}]
 
-    def merge(self, rows: Rows, keys: Sequence[str], when_matched: Mapping[str, Column | object] | str | None = "update", when_not_matched: str | None = "insert", delete_when: Column | None = None) -> int:
+    def merge(self, rows: Rows, keys: Sequence[str], when_matched: Mapping[str, Column | object] | str | None = "update", when_not_matched: str | None = "insert", delete_when: Column | None = None, condition: Column | None = None) -> int | None:
         """Upsert by key. Columns of the incoming rows are ``src.<name>`` and of the table ``dst.<name>`` in expressions.
         ``when_matched``: 'update' (take the incoming values), 'delete', None (keep), or expressions by column;
-        ``delete_when``: matched rows for which it holds go. Incoming keys must be distinct."""
-        return self._merge(rows, keys, when_matched, when_not_matched, delete_when)[0]
+        ``delete_when``: matched rows for which it holds go; ``condition``: what else a match needs (or, without keys, all it
+        needs: then each incoming row matches the first such row of the table). Only files with a match are read whole and
+        rewritten. ValidationError if several incoming rows match one row."""
+        plan = self._plan_merge(rows, keys, when_matched, when_not_matched, delete_when, condition)
+        return self._commit_merge(*plan)
 
-    def _merge(self, rows: Rows, keys: Sequence[str], when_matched, when_not_matched, delete_when, extra=()) -> tuple[int, DataFrame]:
+    def _plan_merge(self, rows: Rows, keys: Sequence[str], when_matched, when_not_matched, delete_when, condition) -> tuple[Snapshot, list[Action], list[dict], DataFrame]:
         df = self._as_frame(rows)
         base = self._base()
         snap = self.snapshot(base)
-        if not keys or any(k not in df.columns or k not in snap.schema.names for k in keys):
+        if not keys and condition is None or any(k not in df.columns or k not in snap.schema.names for k in keys):
             raise ValidationError("merge keys must be columns of both sides", "keys", list(keys))
         schema = merge_schemas(snap.schema, df.schema)
-        actions = list(extra)
+        actions: list[Action] = []
         if schema != snap.schema:
             snap = dataclasses.replace(snap, metadata={**snap.metadata, "schemaString": schema.json()})
             actions.append({"metaData": snap.metadata})
-        if df.groupBy(*[quoted(k) for k in keys]).count().where("count > 1").limit(1).count():
+        files = list(snap.files.values())
+        table = self._scan(snap, files, hidden=True)
+        if condition is not None:
+            df = self._first_matches(table, files, df, keys, condition)
+            keys = [FILE, ROW]
+        if df.where(F.col(quoted(keys[0])).isNotNull()).groupBy(*[quoted(k) for k in keys]).count().where("count > 1").limit(1).count():
             raise ValidationError("several incoming rows have the same key", "keys", list(keys))
-        changes = merge_changes(self._scan(snap, list(snap.files.values()), hidden=True), df, keys, schema, when_matched, when_not_matched, delete_when)
-        touched = {r["p"] for r in changes.where(f"{FILE} is not null and action <> 'keep'").select(self._relative(F.col(FILE)).alias("p")).distinct().collect()}  # a row per file
-        files = [f for f in snap.files.values() if f["path"] in touched]
-        after = changes.where(F.col("after").isNotNull() & (F.col(FILE).isNull() | self._relative(F.col(FILE)).isin(sorted(touched)))).select("after.*")
-        version = self.overwrite_files(snap, files, after, "MERGE", extra=actions)
-        return version, changes
+        hits = table.join(df.select(*[quoted(k) for k in keys]), list(keys), "left_semi").select(self._relative(F.col(FILE)).alias("p")).distinct()
+        touched = {r["p"] for r in hits.collect()}  # a row per file
+        files = [f for f in files if f["path"] in touched]
+        changes = merge_changes(self._scan(snap, files, hidden=True), df, keys, schema, when_matched, when_not_matched, delete_when)
+        return snap, actions, files, changes
+
+    def _first_matches(self, table: DataFrame, files: Sequence[Mapping], df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
+        """The incoming rows with file and ordinal of the first table row that each matches; null without one."""
+        ranks = self.spark.createDataFrame([(f["path"], i) for i, f in enumerate(files)], "__name string, __seq long")
+        ordered = table.withColumn("__name", self._relative(F.col(FILE))).join(ranks, "__name").drop("__name").alias("dst")
+        src = df.withColumn("__sid", F.xxhash64(*[F.to_json(F.struct(F.col(quoted(c)))) for c in df.columns])).alias("src")
+        on = condition
+        for k in keys:
+            on = on & (F.col(f"dst.{quoted(k)}") == F.col(f"src.{quoted(k)}"))
+        place = F.struct(F.col("dst.__seq").alias("s"), F.col(f"dst.{ROW}").alias("r"), F.col(f"dst.{FILE}").alias("f"))
+        best = src.join(ordered, on).groupBy(F.col("src.__sid").alias("__sid")).agg(F.min(place).alias("m"))
+        found = src.join(best, "__sid", "left")
+        return found.select(*[F.col(f"src.{quoted(c)}") for c in df.columns], F.col("m.f").alias(FILE), F.col("m.r").alias(ROW))
+
+    def _commit_merge(self, snap: Snapshot, actions: list[Action], files: list[dict], changes: DataFrame) -> int | None:
+        after = changes.where(F.col("after").isNotNull()).select("after.*")
+        return self.overwrite_files(snap, files, after, "MERGE", extra=actions)
 
     def update_metadata(self, **changes: object) -> int:
         """Merge into the table's metadata (name, description, configuration, ...)."""
@@ -391,6 +415,17 @@ class Table:
         return self._commit(actions, operation, base)
 
 
+def _needs_order(pipeline: Sequence[Mapping]) -> bool:
+    """Whether a result depends on the order of the rows: limits, ties of a sort, and accumulators that follow it."""
+    for stage in pipeline:
+        if not isinstance(stage, Mapping) or any(k in stage for k in ("$sort", "$limit", "$skip")):
+            return True
+        accumulators = stage["$group"].values() if isinstance(stage.get("$group"), Mapping) else ()
+        if any(isinstance(a, Mapping) and next(iter(a), None) in ("$first", "$last", "$push", "$addToSet") for a in accumulators):
+            return True
+    return False
+
+
 def _leading_matches(pipeline: Sequence[Mapping]) -> list[Mapping]:
     out = []
     for stage in pipeline:
@@ -439,7 +474,8 @@ def merge_changes(table: DataFrame, incoming: DataFrame, keys: Sequence[str], sc
     on = [F.col(f"dst.{quoted(k)}") == F.col(f"src.{quoted(k)}") for k in keys]
     both = dst.join(src, on, "full_outer")
     matched, new = F.col("dst.__dst").isNotNull() & F.col("src.__src").isNotNull(), F.col("dst.__dst").isNull()
-    typed = lambda side, f: F.col(f"{side}.{quoted(f.name)}").cast(f.dataType) if f.name in (incoming if side == "src" else table).columns else F.lit(None).cast(f.dataType)
+    incoming_columns = [c for c in incoming.columns if c not in (FILE, ROW)]
+    typed = lambda side, f: F.col(f"{side}.{quoted(f.name)}").cast(f.dataType) if f.name in (incoming_columns if side == "src" else table.columns) else F.lit(None).cast(f.dataType)
 
     def updated(f: T.StructField) -> Column:
         if isinstance(when_matched, Mapping):
@@ -447,7 +483,7 @@ def merge_changes(table: DataFrame, incoming: DataFrame, keys: Sequence[str], sc
                 return typed("dst", f)
             v = when_matched[f.name]
             return (v if isinstance(v, Column) else F.lit(v)).cast(f.dataType)
-        return typed("src", f) if f.name in incoming.columns else typed("dst", f)
+        return typed("src", f) if f.name in incoming_columns else typed("dst", f)
 
     before = F.when(~new, F.struct(*[typed("dst", f).alias(f.name) for f in schema.fields]))
     when_hit = F.lit("keep") if when_matched is None else F.lit("delete" if when_matched == "delete" else "update")

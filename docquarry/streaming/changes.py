@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,6 @@ from ..errors import CDCError, ValidationError
 from ..functions.paths import quoted
 from ..operators.filters import compile_filter, validate_filter
 from ..sources.log import Action, Snapshot, now_ms
-from ..sources.schema import merge_schemas
 from ..sources.table import FILE, ROW, Rows, Table, changed
 
 FOLDER, ENABLED = "_changes", "changeFeed.enabled"
@@ -85,20 +84,14 @@ class ChangeTable(Table):
         feed = self._write_changes(snap, self._images(df.where(hit), DELETE, snap.schema))
         return self.overwrite_files(snap, files, df.where(~hit).drop(FILE, ROW), "DELETE", extra=feed)
 
-    def merge(self, rows: Rows, keys: Sequence[str], when_matched: Mapping[str, Column | object] | str | None = "update", when_not_matched: str | None = "insert", delete_when: Column | None = None) -> int | None:
-        from ..sources.table import merge_changes
-
-        df = self._as_frame(rows)
-        snap = self.snapshot(self._base())
-        schema = merge_schemas(snap.schema, df.schema)
-        changes = merge_changes(self._scan(snap, list(snap.files.values()), hidden=True), df, keys, schema, when_matched, when_not_matched, delete_when)
+    def _commit_merge(self, snap: Snapshot, actions: list[Action], files: list[dict], changes: DataFrame) -> int | None:
         place = F.struct(F.col(FILE).alias("f"), F.col(ROW).alias("r"))
         sides = [("update", "before", PRE, 0), ("update", "after", POST, 1), ("delete", "before", DELETE, 0), ("insert", "after", INSERT, 0)]
         images = [changes.where(F.col("action") == action).select(F.lit(kind).alias("_change_type"), f"{side}.*", F.struct(place["f"].alias("f"), place["r"].alias("r"), F.lit(k).alias("k")).alias(_AT)) for action, side, kind, k in sides]
-        feed_rows = reduce(DataFrame.unionByName, images)
-        if feed_rows.isEmpty():
+        feed = reduce(DataFrame.unionByName, images)
+        if feed.isEmpty():
             return None
-        return self._merge(df, keys, when_matched, when_not_matched, delete_when, self._write_changes(snap, feed_rows))[0]
+        return super()._commit_merge(snap, [*actions, *self._write_changes(snap, feed)], files, changes)
 
     # Reading the feed
 

@@ -259,3 +259,36 @@ def test_parts_writer(spark, tmp_path):
     assert not list((tmp_path / "x").rglob("*.parquet"))
     with pytest.raises(ValidationError):
         WriterOptions(codec="rar")
+
+
+def test_files_in_memory(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from docquarry.errors import CDCError
+    from docquarry.sources.files import read_change_file, read_parquet_bytes
+
+    pq.write_table(pa.table({"a": [1, 2], "b": ["x", None]}), tmp_path / "f")
+    data = (tmp_path / "f").read_bytes()
+    assert read_parquet_bytes(data, ["a"]) == [{"a": 1}, {"a": 2}] and read_change_file(data)[1] == {"a": 2, "b": None}
+    assert read_change_file(b'[{"t": {"$date": 0}, "n": {"$bigint": "5"}}]') == [{"t": dt.datetime(1970, 1, 1), "n": 5}]
+    assert read_change_file(b'{"a": [1]}\n{"a": {}}\n') == [{"a": [1]}, {"a": {}}]
+    with pytest.raises(ValidationError):
+        read_parquet_bytes(b"nope")
+    with pytest.raises(CDCError):
+        read_change_file(b"{")
+
+
+def test_logger_can_be_replaced():
+    from docquarry.log import logger, set_logger
+
+    seen = []
+
+    class Mine:
+        def warning(self, msg, *args):
+            seen.append(msg % args)
+
+    set_logger(Mine())
+    logger().warning("x %s", 1)
+    set_logger(None)
+    assert seen == ["x 1"]

@@ -99,6 +99,17 @@ def test_merge(table):
         table.merge([{"_id": "a"}, {"_id": "a"}], ["_id"])
 
 
+def test_merge_by_a_condition(table):
+    incoming = [{"low": 21, "add": 100}, {"low": 99, "add": 1}]
+    table.merge(incoming, [], {"age": F.col("dst.age") + F.col("src.add")}, None, condition=F.col("dst.age") >= F.col("src.low"))
+    got = {r["_id"]: r["age"] for r in table.find().collect()}
+    assert got == {"u0": 20, "u1": 121, "u2": 22, "u3": 23, "u4": 24, "u5": 25}
+    with pytest.raises(ValidationError):
+        table.merge([{"low": 22}, {"low": 21}], [], "delete", None, condition=F.col("dst.age") == F.lit(22))
+    with pytest.raises(ValidationError):
+        table.merge([{"low": 22}], [])
+
+
 def test_partitions(spark, tmp_path):
     t = Table(spark, str(tmp_path / "p"))
     rows = [{"id": i, "year": 2020 + i % 3, "cat": c} for i, c in enumerate(["a b", "x/y", None, "ü", "a=b", "a b"])]
