@@ -37,7 +37,7 @@ class Chunking:
     zero_bits: int = 4
     least: int = 16
     most: int = 160
-    least_span: int = 80
+    least_span: int = 140
     seed: int = 7
 
 
