@@ -22,5 +22,6 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
+    session.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parent.parent)
     yield session
     session.stop()
