@@ -58,10 +58,16 @@ def spread(df: DataFrame, names: Sequence[str], bits: int) -> list[Column]:
 
 
 def _rank(c: Column, limits: Sequence[float]) -> Column:
-    """How many limits lie below the value; null for null."""
+    """How many limits lie below the value, by binary search in a literal array; null for null."""
     if not limits:
         return F.when(c.isNotNull(), 0)
-    below = F.size(F.filter(F.array(*[F.lit(v) for v in limits]), lambda q: q < c))
+    steps = len(limits).bit_length()
+    array = F.array(*[F.lit(float(v)) for v in limits], *[F.lit(float("inf"))] * ((1 << steps) - 1 - len(limits)))
+
+    def step(low: Column, half: Column) -> Column:
+        return F.when(F.element_at(array, low + half) < c, low + half).otherwise(low)
+
+    below = F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(steps))]), F.lit(0), step)
     return F.when(c.isNotNull(), below)
 
 
