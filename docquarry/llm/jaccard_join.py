@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, cut_lineage, encoded, slices_by_bytes, sorted_runs
@@ -280,22 +280,38 @@ def _shared_signatures(docs: DataFrame, rules: JoinRules, flush: int = 2 << 20)
     return found.groupBy("bucket").applyInPandas(meet, "group long, short long").distinct()
 
 
-def _in_tiles(rows: DataFrame, group: str, sizes: DataFrame, payload: str, rules: JoinRules) -> DataFrame:
-    """``rows`` (group, id, n, payload) dealt into tiles (group, l1, c1, l2, c2) with the side of each row in its tile.
-    ``sizes``: (group, blocks) of the groups that take more than one cell."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100.0 / rules.threshold)) * 1.0001)).cast("int")
-    large = rows.join(sizes.select(group), group, "left_semi").groupBy(group).agg(F.collect_set(band).alias("levels"))  # a few dozen per group
-    dealt = rows.join(sizes.join(large, group), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("level", F.when(F.col("blocks") == 1, 0).otherwise(band))
+def _level(rules: JoinRules) -> Column:
+    """The size band of a row of n shingles; linked rows are of the same or neighbouring bands."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100.0 / rules.threshold)) * 1.0001)).cast("int")
+
+
+def _large_groups(rows: DataFrame, group: str, rules: JoinRules) -> DataFrame:
+    """(group, blocks, low, high) of the groups that take more than one cell: number of hash blocks, and the size bands that
+    occur as two bit sets. A table of its own, so that a join with it splits or broadcasts by its measured size."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(rules.cell_docs)), F.ceil(F.sum("n") * 8 / F.lit(rules.cell_bytes))).cast("int")
+    level = _level(rules)
+    low = F.bit_or(F.when(level < 60, F.call_function("shiftleft", F.lit(1).cast("long"), level)).otherwise(F.lit(0)))
+    high = F.bit_or(F.when(level >= 60, F.call_function("shiftleft", F.lit(1).cast("long"), level - 60)).otherwise(F.lit(0)))
+    return cut_lineage(rows.groupBy(group).agg(blocks.alias("blocks"), low.alias("low"), high.alias("high")).where("blocks > 1").coalesce(4))
+
+
+def _in_tiles(rows: DataFrame, group: str, large: DataFrame, payload: str, rules: JoinRules) -> DataFrame:
+    """``rows`` (group, id, n, payload) dealt into tiles (group, l1, c1, l2, c2) with the side of each row in its tile."""
+    dealt = rows.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("level", F.when(F.col("blocks") == 1, 0).otherwise(_level(rules)))
     dealt = dealt.withColumn("cell", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+
+    def occurs(level: Column) -> Column:
+        word = F.when(level < 60, F.col("low")).otherwise(F.col("high"))
+        return (level >= 0) & (F.call_function("shiftright", word, F.pmod(level, F.lit(60))).bitwiseAND(F.lit(1)) == 1)
+
     # a tile is (lower level, its cell, upper level, its cell); in one level the smaller cell comes first
     cells = F.sequence(F.lit(0), F.col("blocks") - 1)
     same = F.transform(cells, lambda c: F.struct(F.col("level").alias("l1"), F.least(c, F.col("cell")).alias("c1"), F.col("level").alias("l2"), F.greatest(c, F.col("cell")).alias("c2"), (F.col("cell") > c).cast("int").alias("side")))
     up = F.transform(cells, lambda c: F.struct(F.col("level").alias("l1"), F.col("cell").alias("c1"), (F.col("level") + 1).alias("l2"), c.alias("c2"), F.lit(0).alias("side")))
     down = F.transform(cells, lambda c: F.struct((F.col("level") - 1).alias("l1"), c.alias("c1"), F.col("level").alias("l2"), F.col("cell").alias("c2"), F.lit(1).alias("side")))
     none = F.slice(same, 1, 0)
-    has = lambda level: F.array_contains("levels", level)
-    both = F.concat(same, F.when(has(F.col("level") + 1), up).otherwise(none), F.when(has(F.col("level") - 1), down).otherwise(none))
+    both = F.concat(same, F.when(occurs(F.col("level") + 1), up).otherwise(none), F.when(occurs(F.col("level") - 1), down).otherwise(none))
     tiles = F.when(F.col("blocks") == 1, same).otherwise(both)
     return dealt.select(group, "id", "n", payload, F.explode(tiles).alias("t")).select(group, "id", "n", payload, "t.*")
 
@@ -318,8 +334,6 @@ def _bitmap_edges(shared: DataFrame, classes: DataFrame, rules: JoinRules) -> Da
     """Edges (a, b) between representatives that share a signature and pass the bitmap bound."""
     shared = cut_lineage(shared)
     found = shared.join(classes.select(F.col("lo").bitwiseAND(F.lit(SHORT)).alias("short"), F.col("rep").alias("id"), "n", "bits"), "short").drop("short")
-    sizes = shared.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rules.cell_docs).select("group", F.ceil(F.col("c") / F.lit(rules.cell_docs)).cast("int").alias("blocks"))
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[tuple[int, int]] = set()
         edges: list[tuple[int, int]] = []
@@ -340,16 +354,13 @@ def _bitmap_edges(shared: DataFrame, classes: DataFrame, rules: JoinRules) -> Da
                     done.clear()
         yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    tiled = _in_tiles(found, "group", sizes, "bits", rules)
+    tiled = _in_tiles(found, "group", _large_groups(found.select("group", "n"), "group", rules), "bits", rules)
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tiled.repartition(parts, "group", *TILE).sortWithinPartitions("group", *TILE).mapInPandas(compare, "a long, b long")
 
 
 def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
     """Exact links (a, b) inside the families; ``family``: (doc_id, family, n) of representatives."""
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), (F.sum("n") * 8).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("docs") / F.lit(rules.cell_docs)), F.ceil(F.col("bytes") / F.lit(rules.cell_bytes))).cast("int")
-    sizes = sizes.select("family", blocks.alias("blocks")).where("blocks > 1")
     texts = docs.join(family, "doc_id").select("family", F.col("doc_id").alias("id"), "n", "text").dropDuplicates(["id"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -360,7 +371,7 @@ def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
         size = np.array([len(s) for s in sets], np.int64)
         return _pairs(pdf["id"].to_numpy(np.int64), link_tile(size, [bitmap(s, rules.least_bits) for s in sets], side, rules, sets))
 
-    return _in_tiles(texts, "family", sizes, "text", rules).groupBy("family", *TILE).applyInPandas(compare, "a long, b long")
+    return _in_tiles(texts, "family", _large_groups(family, "family", rules), "text", rules).groupBy("family", *TILE).applyInPandas(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
