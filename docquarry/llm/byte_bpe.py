@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, newer_characters, slices_by_bytes
+from .common import Finder, col, newer_characters, slices_by_bytes
 
 
 class RankBitmap:
@@ -100,7 +100,7 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 300_000):
         self.ranks, self.pattern, self.cache_size = ranks, regex.compile(pattern), cache_size
-        self.newer = regex.compile(f"[{newer_characters()}]")
+        self.has_newer, self.newer = Finder(newer_characters()), regex.compile(f"[{newer_characters()}]")
         self.tokens = {r: t for t, r in ranks.items()}
         self.table = MergeTable(ranks)
         self.single = np.full(256, -1, np.int64)
@@ -206,7 +206,7 @@ class ByteBPE:
 
     def matches(self, text: str) -> list[str]:
         """The pattern's matches, one after the other. Characters newer than the libraries count as unassigned."""
-        if not self.newer.search(text):
+        if not self.has_newer(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(self.newer.sub("\u0378", text))]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import unicodedata
 import uuid
@@ -77,6 +78,20 @@ def newer_characters() -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
 
 
+class Finder:
+    """Tells whether a text holds one of some characters, none of them printable ASCII or Latin: a quick look for anything
+    else comes first."""
+
+    quick = re.compile("[^\t-\r\x20-\u024f]")
+
+    def __init__(self, characters: str):
+        self.full = re.compile(f"[{characters}]")
+
+    def __call__(self, text: str) -> bool:
+        found = self.quick.search(text)
+        return found is not None and self.full.search(text, found.start()) is not None
+
+
 def slices_by_bytes(texts: pd.Series, limit: int = 4 << 20) -> Iterator[pd.Series]:
     """Consecutive pieces of a batch of about ``limit`` characters each, one text at least; bounds the Python objects alive at once."""
     size = texts.str.len().fillna(0).to_numpy(dtype=np.int64)

@@ -16,7 +16,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from .common import newer_characters
+from .common import Finder, newer_characters
 
 #: Characters that Python's str.split() takes for white space and Unicode's White_Space doesn't; and a letter whose lower
 #: case depends on its neighbours in Python.
@@ -24,7 +24,7 @@ SPECIAL = "\x1c-\x1fΣ"
 
 
 class WordTokens:
-    def __init__(self, path: str, cache_size: int = 400_000, batch: int = 50_000):
+    def __init__(self, path: str, cache_size: int = 800_000, batch: int = 50_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
@@ -42,7 +42,7 @@ class WordTokens:
         vocabulary = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.special = regex.compile(f"[{SPECIAL}{newer_characters()}]")
+        self.special = Finder(SPECIAL + newer_characters())
         self.cache: dict[str, bytes] = {}
         self.cache_size, self.batch = cache_size, batch
 
@@ -51,7 +51,7 @@ class WordTokens:
         if len(self.cache) > self.cache_size:
             self.cache.clear()
         cache = self.cache
-        split = [None if self.special.search(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
+        split = [None if self.special(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
         new = list(set().union(*(x for x in split if x is not None)) - cache.keys())
         for at in range(0, len(new), self.batch):
             self._learn(new[at : at + self.batch])
