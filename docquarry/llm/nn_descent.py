@@ -19,6 +19,7 @@ part; repeated ids count once; fewer candidates than ``k`` give fewer rows.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,7 @@ class GraphRules:
     offers: int = 8
     block: int = 8192
     starts: int = 2
-    rounds: int = 4
+    rounds: int = 6
     settled: float = 0.02
     beam: int = 240
     hops: int = 12
@@ -181,7 +182,9 @@ def _offers(members: DataFrame, rules: GraphRules, parts: int) -> DataFrame:
 
 
 def _reclaim(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of frames that are gone; it only does so when the driver's JVM collects garbage."""
+    """Let Spark drop the shuffle files of frames that are gone; it only does so when Python and the driver's JVM have collected
+    their garbage."""
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
@@ -212,6 +215,7 @@ def build_graph(nodes: DataFrame, n: int, files: int, rules: GraphRules = GraphR
         members = pairs.join(nodes.join(bars, "id"), "id").select("pivot", "id", "wide", "bar")
         lists = graph.select("id", "near", "sims", F.lit(1).alias("kind")).union(_offers(members, rules, parts).withColumn("kind", F.lit(0)))
         graph = cut_lineage(_keep_best(lists, rules, parts, files))
+        del edges, back, pairs, bars, members, lists
         changed = graph.agg(F.sum("changed")).collect()[0][0] or 0  # one row
         _reclaim(graph)
         if changed < rules.settled * n * rules.neighbours:
@@ -304,6 +308,7 @@ def search_graph(index: DataFrame, blocks: int, files: int, starts: DataFrame, k
             break
         answers = index.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(answer, STATE)
         step = cut_lineage(step.where("kind = 0").union(answers).repartition(parts, "id").sortWithinPartitions("id").coalesce(files).mapInPandas(advance, STATE))
+        del asks, answers
         _reclaim(step)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
