@@ -129,6 +129,14 @@ def test_partitions(spark, tmp_path):
         t.append([{"id": 1, "year": 1, "cat": "c"}], ["year"])
 
 
+def test_partitions_by_time(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "time"))
+    moments = [dt.datetime(2024, 1, 1, 0, 0, 0, 500_000), dt.datetime(2024, 1, 2)]
+    t.append([{"i": i, "at": m, "on": m.date(), "b": bool(i)} for i, m in enumerate(moments)], ["at", "on", "b"])
+    for spec in ({"at": moments[0]}, {"on": moments[0].date()}, {"b": False}, {"at": {"$in": [moments[0]]}}):
+        assert [r["i"] for r in t.find(spec).collect()] == [0], spec
+
+
 def test_statistics_skip_files(table):
     table.append([{"_id": "z", "age": 90, "score": float("nan")}])
     assert table.find({"age": {"$gt": 80}}).count() == 1 and table.last_skipped_files >= 1
