@@ -7,8 +7,8 @@ Two documents link when ``100 * |x & y| >= threshold * |x | y|`` for their sets
    space is cut into m > d segments, at least m - d segments hold the same shingles in both. Each set sends one signature
    per segment (band, segment, hash of the shingles in it) to its own band and, if a partner may be in the next one, to that
    as well. Empty segments send nothing as long as a set has at most m - d - 1 of them; a set with more sends theirs too,
-   so that of two linked sets at least one common signature is always there. A passage that many documents share fills
-   no whole segment of otherwise different documents, so it makes no candidates.
+   so that of two linked sets at least one common signature is always there. A passage that many documents share seldom
+   fills a whole segment of otherwise different documents, so it makes few candidates.
 3. Signatures go to buckets in blobs of twelve bytes each (six of the signature besides its bucket, six of the class); a
    task sends each once. A bucket keeps those that two classes or more share. Truncation adds candidates, never loses one.
 4. The classes that share a signature are compared by their bitmaps, and those that pass the overlap bound below are
