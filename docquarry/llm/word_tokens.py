@@ -58,26 +58,27 @@ class WordTokens:
         return [self._whole(t) if x is None else b"".join(map(cache.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
 
     def _pieces(self, word: str) -> list[str]:
-        """The word's pre-tokens; letters only, or with one mark at the end, need no pattern."""
-        if word.isalpha():
-            return [word]
+        """The pre-tokens of a word that isn't letters only; letters with one mark at the end need no pattern."""
         if word[-1] in ".,!?;:" and word[:-1].isalpha():
             return [word[:-1], word[-1]]
         return self.pattern.findall(word)
 
     def _learn(self, words: list[str]) -> None:
-        pieces = [self._pieces(w) for w in words]
-        distinct = list({p for x in pieces for p in x})
+        plain = [w for w in words if w.isalpha()]  # these are one pre-token each
+        others = [w for w in words if not w.isalpha()]
+        pieces = [self._pieces(w) for w in others]
+        distinct = list(set(plain).union(*pieces))
         lines = [" ".join(distinct[k : k + 50]) for k in range(0, len(distinct), 50)]
-        ids = np.array([i for k in range(0, len(lines), 100) for x in self.split_tokenizer.encode_batch_fast(lines[k : k + 100], add_special_tokens=False) for i in x.ids], "<u4")
+        ids = np.concatenate([np.array(x.ids, "<u4") for k in range(0, len(lines), 100) for x in self.split_tokenizer.encode_batch_fast(lines[k : k + 100], add_special_tokens=False)])
         ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(ends) == len(distinct):
-            blob = ids.tobytes()
-            known = {p: blob[a:b] for p, a, b in zip(distinct, [0, *ends], ends)}
-            for word, x in zip(words, pieces, strict=True):
-                self.cache[word] = known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x))
-        else:  # a pre-token without an end mark, such as one that the vocabulary can't spell
+        if len(ends) != len(distinct):  # a pre-token without an end mark, such as one that the vocabulary can't spell
             self.cache.update((w, self._whole(w)) for w in words)
+            return
+        blob = ids.tobytes()
+        known = {p: blob[a:b] for p, a, b in zip(distinct, [0, *ends], ends)}
+        find = known.__getitem__
+        self.cache.update(zip(plain, map(find, plain), strict=True))
+        self.cache.update((w, find(x[0]) + find(x[1]) if len(x) == 2 else b"".join(map(find, x))) for w, x in zip(others, pieces, strict=True))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
