@@ -5,10 +5,10 @@ document; the score is the mean difference of the losses per token, in bits. Low
 target than like the corpus at large. Tokens are UTF-8 bytes, so the vocabulary is closed and the same for both; both models
 are columns of one table of byte strings (see ``ppm_language.PPM``: back-off with Witten-Bell escapes).
 
-The models are matched in size: all target documents are counted, and of all documents a share, drawn by a hash of the id,
-that has as many bytes. Counting is pre-aggregated in each task and summed by Spark over the whole corpus, so what is
-gathered grows with it. The table that scoring needs is bounded: of the longest strings the ``max_grams`` most frequent
-stay (whole classes of equal frequency), the others back off to shorter ones.
+The target model counts all target documents, the background model every document, targets included; what is compared are
+conditional probabilities, so the two need not be of one size. Counting is pre-aggregated in each task and summed by Spark
+over the whole corpus, so what is gathered grows with it. The table that scoring needs is bounded: of the longest strings
+the ``max_grams`` most frequent stay (whole classes of equal frequency), the others back off to shorter ones.
 
 Defined results: a null or empty text has n_tokens 0 and null losses; without any target text all losses are null; rows
 are scored one by one, repeated ones too.
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, encoded, hash_fraction, slices_by_bytes
+from .common import col, cut_lineage, encoded, slices_by_bytes
 from .ppm_language import PPM, grams
 
 SIDES = ["target", "background"]
@@ -71,13 +71,10 @@ def learn_pair(docs: DataFrame, targets: DataFrame, order: int = 4, max_grams: i
     ids = targets.select(col(targets, targets.columns[0]).alias("id")).where("id is not null").distinct().withColumn("in_target", F.lit(True)).hint("merge")
     text = col(docs, text_col)
     texts = docs.where(text.isNotNull() & (text != "")).select(col(docs, id_col).alias("id"), text.alias("text"))
-    sizes = texts.select("id", F.octet_length("text").cast("long").alias("size")).join(ids, "id", "left")
-    sums = sizes.agg(F.sum(F.when(F.col("in_target"), F.col("size"))).alias("target"), F.sum("size").alias("all")).collect()[0]  # one row
-    if not sums["target"]:
+    marked = texts.join(ids, "id", "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"), F.lit(True).alias("in_background"))
+    if marked.where("in_target").isEmpty():
         return None
-    marked = texts.join(ids, "id", "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"), (hash_fraction(F.col("id")) < sums["target"] / sums["all"]).alias("in_background"))
-    rows = marked.where("in_target or in_background")
-    counts = cut_lineage(count_grams(rows, order))
+    counts = cut_lineage(count_grams(marked, order))
     # the lowest frequency class that still fits; classes are powers of two, so this is a few dozen rows
     classes = counts.groupBy(F.floor(F.log2(F.col("target") + F.col("background"))).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
     least, total = 1 << 62, 0
@@ -91,8 +88,7 @@ def learn_pair(docs: DataFrame, targets: DataFrame, order: int = 4, max_grams: i
     # shorter strings keep the counts of the longer ones that were left out
     mask = (1 << 8 * order) - 1
     short = counts.where(F.col("target") + F.col("background") < least).groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key"))
-    rest = short.agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    rest = rest.orderBy(F.desc(F.col("target") + F.col("background")), "key").limit(max_grams).toPandas()
+    rest = short.agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas()
     return PPM.learn_sides(SIDES, order, key, long[SIDES].to_numpy(np.float64), rest["key"].to_numpy(np.int64), rest[SIDES].to_numpy(np.float64))
 
 

@@ -144,6 +144,19 @@ def test_pruned_strings_still_count_for_shorter_ones(spark):
     assert np.allclose(small.cost[0][np.isin(small.keys[0], full.keys[0])], full.cost[0][np.isin(full.keys[0], small.keys[0])])
 
 
+def test_background_is_every_document(spark):
+    from docquarry.llm.cross_entropy import cross_entropy_difference
+
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcd ", k=60)) + f" {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in cross_entropy_difference(docs, learn_pair(docs, docs.where("doc_id < 3").select("doc_id"), order=2)).collect()}
+    raws = [t.encode() for _, t in rows]
+    for i in (0, 1, 30, 59):
+        assert got[i]["background_loss"] * len(raws[i]) == pytest.approx(brute_bits(raws, raws[i], 2), rel=1e-5)
+        assert got[i]["target_loss"] * len(raws[i]) == pytest.approx(brute_bits(raws[:3], raws[i], 2), rel=1e-5)
+
+
 # Substrings
 
 
