@@ -157,6 +157,31 @@ def test_background_is_every_document(spark):
         assert got[i]["target_loss"] * len(raws[i]) == pytest.approx(brute_bits(raws[:3], raws[i], 2), rel=1e-5)
 
 
+def test_no_string_is_cut_from_the_model(spark):
+    from docquarry.llm.cross_entropy import cross_entropy_difference
+
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(33, 127)]
+    rows = [(i, "".join(rng.choices(letters, k=9000))) for i in range(70)]  # about 630,000 distinct strings of five bytes
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    model = learn_pair(docs, docs.where("doc_id < 35").select("doc_id"))
+    fresh = spark.createDataFrame([(100, "abc abc unseen \u00e9"), (101, ""), (None, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in cross_entropy_difference(docs.where("doc_id in (3, 60)").union(fresh), model).collect()}
+    raws = [t.encode() for _, t in rows]
+    key, n = np.unique(grams(raws, 4), return_counts=True)
+    target, m = np.unique(grams(raws[:35], 4), return_counts=True)
+    assert len(key) > 500_000
+    both = np.stack([np.zeros(len(key)), n], axis=1)
+    both[np.searchsorted(key, target), 0] = m
+    whole = PPM.learn_sides(["target", "background"], 4, key, both, key[:0], both[:0])
+    texts = {3: raws[3], 60: raws[60], 100: "abc abc unseen \u00e9".encode()}
+    want = whole.walker().bits(list(texts.values()))
+    for (i, raw), bits in zip(texts.items(), want, strict=True):
+        assert got[i]["n_tokens"] == len(raw)
+        assert [got[i]["target_loss"] * len(raw), got[i]["background_loss"] * len(raw)] == pytest.approx(bits, rel=1e-4)
+    assert all((got[i]["n_tokens"], got[i]["score"], got[i]["target_loss"]) == (0, None, None) for i in (101, None))
+
+
 # Substrings
 
 
