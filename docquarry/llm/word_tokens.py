@@ -3,7 +3,8 @@
 For tokenizers whose pre-tokens never span white space, drop it, and end in a token with the word-end suffix. A text's ids
 are then those of its words one after the other, and a word's those of its pre-tokens. New pre-tokens are encoded by the
 library, many to a call; the word-end tokens tell where each one's ids end. Texts with characters for which splitting at
-white space is not safe are encoded whole by the library.
+white space is not safe are encoded whole by the library, and so are texts that hold the string of an added token such as
+``<|endoftext|>``, which the library's plain ``encode`` turns into that token's id.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ class WordTokens:
     def __init__(self, path: str, cache_size: int = 800_000, batch: int = 50_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split, *rest = spec["pre_tokenizer"]["pretokenizers"]
@@ -39,6 +39,7 @@ class WordTokens:
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
         self.split_tokenizer = Tokenizer.from_str(json.dumps(spec))
         self.split_tokenizer.encode_special_tokens = True
+        self.added = [s for t in spec["added_tokens"] for s in {t["content"], self._normal(t["content"])}]
         vocabulary = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
@@ -51,12 +52,23 @@ class WordTokens:
         if len(self.cache) > self.cache_size:
             self.cache.clear()
         cache = self.cache
-        split = [None if self.special(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
+        split = [None if self.special(t) else self._split(t) for t in texts]
         new = list(set().union(*(x for x in split if x is not None)) - cache.keys())
         for at in range(0, len(new), self.batch):
             self._learn(new[at : at + self.batch])
         return [self._whole(t) if x is None else b"".join(map(cache.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
 
+    @staticmethod
+    def _normal(text: str) -> str:
+        return unicodedata.normalize("NFC", text).lower()
+
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a text; None if it holds an added token."""
+        normal = self._normal(text)
+        if any(s in normal or s in text for s in self.added):
+            return None
+        return normal.split()
+
     def _pieces(self, word: str) -> list[str]:
         """The pre-tokens of a word that isn't letters only; letters with one mark at the end need no pattern."""
         if word[-1] in ".,!?;:" and word[:-1].isalpha():

@@ -115,3 +115,10 @@ def test_packing_wastes_little():
     rng = np.random.default_rng(0)
     lengths = np.minimum(2048, rng.lognormal(6.5, 1, 5000).astype(np.int64) + 1)
     assert pack(lengths, 2048)[2] <= 1.02 * -(-lengths.sum() // 2048)
+
+
+@pytest.mark.parametrize("text", ["hello <|endoftext|> you", "a<|startoftext|>b <|endoftext|>", "<|endoftext|>", "hello <|ENDOFTEXT|> you", "no < |endoftext|> here"])
+def test_added_tokens_are_those_of_the_plain_call(text):
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = [np.frombuffer(x, "<u4").tolist() for x in WORDS.encode_slice([text, "hello you"])]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in (text, "hello you")]
