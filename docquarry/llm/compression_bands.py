@@ -39,8 +39,9 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class BandRules:
-    """Limits of the verdict. ``chunk_bytes``: size of the fixed chunks (a last chunk under half of it joins none);
-    ``chunk_band``: lowest and highest ratio of a chunk; ``bad_share``: largest share of chunks outside the band."""
+    """Limits of the verdict. ``chunk_bytes``: size of the fixed chunks (a last chunk under half of it has the band of a
+    document as long, and one within the first band reaches back to a full chunk); ``chunk_band``: lowest and highest ratio of the others; ``bad_share``: largest share of chunks outside
+    their band."""
 
     bands: tuple[tuple[int, float, float], ...] = DOCUMENT_BANDS
     chunk_bytes: int = 4096
@@ -48,6 +49,9 @@ class BandRules:
     bad_share: float = 0.25
     level: int = 3
 
+    def band(self, size: int) -> tuple[float, float]:
+        return next((low, high) for most, low, high in self.bands if size <= most)
+
 
 def repeated_window_words(words: list[bytes], width: int = 8) -> int:
     """Words covered by ``width``-word windows that occur twice or more. Exact: window ids come from doubling pairs of
@@ -76,14 +80,15 @@ def repeated_window_words(words: list[bytes], width: int = 8) -> int:
 def ratios(raw: bytes, rules: BandRules, packer: zstandard.ZstdCompressor) -> tuple[float, int, int]:
     """Ratio of the whole text, number of chunks, and chunks outside their band."""
     whole = len(raw) / len(packer.compress(raw))
-    size, (low, high) = rules.chunk_bytes, rules.chunk_band
+    size = rules.chunk_bytes
     if len(raw) <= size:
         return whole, 0, 0
     outside = chunks = 0
     for at in range(0, len(raw), size):
         part = raw[at : at + size]
-        if 2 * len(part) < size:
-            break
+        if len(part) <= rules.bands[0][0]:  # the frame alone outweighs so few bytes: with what stands before them
+            part = raw[-size:]
+        low, high = rules.chunk_band if 2 * len(part) >= size else rules.band(len(part))
         chunks += 1
         outside += not low <= len(part) / len(packer.compress(part)) <= high
     return whole, chunks, outside
@@ -101,7 +106,7 @@ def judge(text: str | None, rules: BandRules, packer: zstandard.ZstdCompressor)
     n_repeat = repeated_window_words(words)
     base_failed = n_words < 20 or 100 * n_repeat > 30 * n_words
     whole, chunks, outside = ratios(raw, rules, packer) if raw else (0.0, 0, 0)
-    low, high = next((lo, hi) for most, lo, hi in rules.bands if len(raw) <= most)
+    low, high = rules.band(len(raw))
     in_band = low <= whole <= high and outside <= rules.bad_share * chunks
     return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base_failed, bool(not base_failed and in_band), whole, chunks, outside
 

@@ -43,6 +43,20 @@ def test_repeated_windows(words):
     assert repeated_window_words(words) == len(covered)
 
 
+@pytest.mark.parametrize("tail", [b"\0" * 1900, random.Random(2).randbytes(1900)])
+def test_the_end_of_a_text_is_judged(tail):
+    import zstandard
+
+    from docquarry.llm.compression_bands import BandRules, ratios
+
+    rules = BandRules()
+    text = prose(random.Random(3), 2000).encode()
+    head = text[: rules.chunk_bytes]
+    packer = zstandard.ZstdCompressor(level=rules.level)
+    assert ratios(head + text[rules.chunk_bytes :][:1900], rules, packer)[1:] == (2, 0)
+    assert ratios(head + tail, rules, packer)[1:] == (2, 1)
+
+
 @needs_tables
 def test_bands_keep_clean_text(spark):
     kept = Q.op1_compression_bands(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("n_words >= 20")
