@@ -2,22 +2,28 @@
 
 Two documents link when ``100 * |x & y| >= threshold * |x | y|`` for their sets of shingles (64-bit hashes).
 
-1. Documents with the same set form one class; its smallest id stands for it from here on.
-2. Candidates, without loss: sizes fall into bands. Linked sets of a band differ in at most d shingles, so if the hash
-   space is cut into m > d segments, at least m - d segments hold the same shingles in both. Each set sends one signature
-   per segment (band, segment, hash of the shingles in it) to its own band and, if a partner may be in the next one, to that
-   as well. Empty segments send nothing as long as a set has at most m - d - 1 of them; a set with more sends theirs too,
-   so that of two linked sets at least one common signature is always there. A passage that many documents share seldom
-   fills a whole segment of otherwise different documents, so it makes few candidates.
-3. Signatures go to buckets in blobs of twelve bytes each (six of the signature besides its bucket, six of the class); a
-   task sends each once. A bucket keeps those that two classes or more share. Truncation adds candidates, never loses one.
+1. One pass over the texts gives each document's set size, digest and bitmap, and the signatures of step 2. Documents with
+   the same set form one class; its smallest id stands for it from here on.
+2. Candidates, without loss: sizes fall into bands, and a band cuts the hash space into segments. A set whose linked
+   partners differ from it in at most d shingles sends the signatures (band, segment, hash of the shingles in it) of its
+   first d + 1 segments that aren't empty, to its own band and to the next if a partner may be there. Of two linked sets,
+   take the first segment that both fill alike: each segment before it that one of them fills holds one of the at most d
+   differences, so both send its signature. A band has so many segments that a set fills fewer than d + 1 of them once in
+   100,000 times; such a set sends the signatures of all segments, the empty ones too.
+3. Signatures go to buckets in blobs of twelve bytes each (six of the signature, six of the class); a task sends each once.
+   A bucket keeps those that two classes or more share; buckets are as many as the counted signatures need. A signature with
+   more classes than a bucket should hold is known from the tasks' counts and goes by class, not by bucket. Truncation adds
+   candidates, never loses one.
 4. The classes that share a signature are compared by their bitmaps, and those that pass the overlap bound below are
    chained; components of the chains are families. Families are then compared exactly, text by text. Both happen in tiles:
    a small group is one tile; a large one is dealt into cells by size band and hash, and a tile holds two cells of the
    same or neighbouring bands, so that no task sees more than two cells. In a tile, pairs of one component are skipped;
    for others, the differing bits of their parity bitmaps bound the overlap from above, and pairs that pass are
    intersected exactly.
-5. Components of the links, over classes, give the result.
+5. Components of the links, over classes, give the result. A family of one tile has them at once.
+
+What this costs beyond the input: documents that share only a passage become candidates where the passage alone fills a
+segment in both; a group of g classes that takes more than one cell is compared in about (g / cell_docs) ** 2 / 2 tiles.
 
 Defined results: lower-case is of A-Z only; fewer words than a shingle make one shingle of the whole sequence; no words or
 a null text give an empty set (n_shingles 0, own component). Repeated rows are copies like others. A row with a null id
@@ -27,6 +33,7 @@ they count as linked where any of them is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, cut_lineage, encoded, slices_by_bytes, sorted_runs
-from .components import connected_components
+from .components import Forest, connected_components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -46,7 +53,8 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 @dataclass(frozen=True)
 class JoinRules:
     """``threshold``: percent; ``width``: words in a shingle; ``growth``: ratio of the size bands that candidates use, in
-    percent; ``cell_docs`` and ``cell_bytes``: bounds of a cell of a tile; ``least_bits``: of a bitmap, a power of two, 64 at least."""
+    percent; ``cell_docs`` and ``cell_bytes``: bounds of a cell of a tile; ``least_bits``: of a bitmap, a power of two, 64 at
+    least; ``bucket``: signatures in a bucket, about, and classes of one signature that still go there."""
 
     threshold: int = 85
     width: int = 4
@@ -54,11 +62,16 @@ class JoinRules:
     cell_docs: int = 256
     cell_bytes: int = 64 << 20
     least_bits: int = 256
+    bucket: int = 1 << 21
 
     def most_apart(self, total: int) -> int:
         """Largest symmetric difference of two linked sets whose sizes sum to ``total``."""
         return total * (100 - self.threshold) // (100 + self.threshold)
 
+    def most_changed(self, size: int) -> int:
+        """Largest symmetric difference of a set of ``size`` and one linked with it."""
+        return self.most_apart(size + 100 * size // self.threshold)
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
@@ -81,12 +94,33 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(mixed(h))
 
 
+#: Most likely share of the sets of a band that fill too few segments.
+RARE = 1e-5
+
+
+def filled_tail(balls: int, cells: int, most: int) -> float:
+    """Probability that ``balls`` at random fill at most ``most`` of the cells: exact for few, by the normal law for many."""
+    if balls <= 300:
+        p = np.zeros(most + 2)
+        p[0] = 1.0
+        filled = np.arange(most + 2)
+        for _ in range(balls):
+            into = p * (cells - filled) / cells
+            p = p * filled / cells
+            p[1:] += into[:-1]
+        return float(p[:-1].sum())
+    one, two = (1 - 1 / cells) ** balls, (1 - 2 / cells) ** balls
+    mean, variance = cells * (1 - one), cells * (cells - 1) * two + cells * one - (cells * one) ** 2
+    return 0.5 * math.erfc((mean - most - 0.5) / math.sqrt(2 * max(variance, 1e-9)))
+
+
 class Bands:
     """Size bands and their numbers of segments."""
 
     def __init__(self, rules: JoinRules):
         self.rules = rules
         self.starts = [1]
+        self.known: dict[int, np.ndarray] = {}
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
@@ -94,12 +128,18 @@ class Bands:
             self.starts.append(max(last + 1, last * self.rules.growth // 100))
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def plan(self, band: int) -> tuple[int, int]:
-        """Segments of a band, and how many of a set may be empty without signatures for them."""
-        self.of(self.starts[band])
-        apart = self.rules.most_apart(2 * (self.starts[band + 1] - 1))
-        spare = 1 + -(-6 * (apart + 2) // 1000)
-        return apart + 1 + spare, spare
+    def limits(self, band: int) -> np.ndarray:
+        """Where the segments of a band begin, besides the first."""
+        if band not in self.known:
+            self.of(self.starts[band])
+            most = self.starts[band + 1] - 1
+            least = -(-self.rules.threshold * self.starts[band] // 100)
+            sizes = sorted({least, (least + most) // 2, most})
+            m = self.rules.most_changed(most) + 1
+            while any(filled_tail(n, m, self.rules.most_changed(n)) > RARE for n in sizes):
+                m += 1 + m // 128
+            self.known[band] = np.array([(k << 64) // m for k in range(1, m)], np.uint64)
+        return self.known[band]
 
 
 def signatures(hashes: np.ndarray, bands: Bands, rules: JoinRules) -> np.ndarray:
@@ -107,21 +147,17 @@ def signatures(hashes: np.ndarray, bands: Bands, rules: JoinRules) -> np.ndarray
     size = len(hashes)
     if not size:
         return np.empty(0, np.uint64)
-    own = bands.of(size)
-    out = []
+    apart = rules.most_changed(size)
+    band, out = bands.of(size), []
     total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ _STEP), dtype=np.uint64)])
-    for band in (own, own + 1):
-        if band > own and 100 * size < rules.threshold * bands.starts[band]:
-            break
-        m, spare = bands.plan(band)
-        limits = np.array([(k << 64) // m for k in range(1, m)], np.uint64)
+    while not out or 100 * size >= rules.threshold * bands.starts[band]:
+        limits = bands.limits(band)
         at = np.concatenate([[0], np.searchsorted(hashes, limits), [size]])
-        held = np.diff(at)
-        sums = total[at[1:]] - total[at[:-1]]
-        tag = np.uint64(band << 32) + np.arange(m, dtype=np.uint64)
-        sig = mixed(sums + mixed(tag))
-        full = held > 0
-        out.append(sig if m - int(full.sum()) > spare else sig[full])
+        full = np.flatnonzero(np.diff(at))
+        k = full[: apart + 1] if len(full) > apart else np.arange(len(at) - 1)
+        out.append(mixed(total[at[k + 1]] - total[at[k]] + mixed(np.uint64(band << 32) + k.astype(np.uint64))))
+        band += 1
+        bands.of(bands.starts[band])
     return np.concatenate(out)
 
 
@@ -189,20 +225,6 @@ def link_tile(size: np.ndarray, maps: list[np.ndarray], side: np.ndarray, rules:
     return links
 
 
-def _profiles(docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """(doc_id, n, hi, lo, bits): size, 128-bit digest of the set, and its bitmap."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in slices_by_bytes(pdf["text"]):
-                sets = [shingles(t, rules.width) for t in part]
-                digests = [digest(s) for s in sets]
-                bits = [bitmap(s, rules.least_bits).tobytes() for s in sets]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].loc[part.index].to_numpy(), "n": [len(s) for s in sets], "hi": [d[0] for d in digests], "lo": [d[1] for d in digests], "bits": bits})
-
-    return docs.mapInPandas(run, "doc_id long, n long, hi long, lo long, bits binary")
-
-
 def digest(hashes: np.ndarray) -> tuple[int, int]:
     """A set's digest as two non-negative 63-bit integers."""
     d = xxhash.xxh3_128_intdigest(hashes.tobytes())
@@ -212,26 +234,35 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
 SHORT = (1 << 48) - 1  # of a signature or class in a blob
 
 
-def _shared_signatures(docs: DataFrame, rules: JoinRules, flush: int = 2 << 20) -> DataFrame:
-    """(group, short): the groups of two or more classes that share a signature, each once, with the last 48 bits of each
-    class's digest.
-    ``flush``: signatures that a task holds before it sends them."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limits = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+def _packed(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    x = np.zeros((len(blob) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return x.view("<u8").ravel()
+
+
+def _ordered(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((cls, sig))
+    sig, cls = sig[order], cls[order]
+    keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
+    return sig[keep], cls[keep]
+
+
+PROFILE, SIGNATURES, COUNTS = 0, 1, 2
+FRAME = {"kind": "int", "doc_id": "long", "n": "long", "hi": "long", "lo": "long", "bits": "binary", "sigs": "binary", "classes": "binary"}
+_REST = {"doc_id": 0, "n": 0, "hi": 0, "lo": 0, "bits": b"", "sigs": b"", "classes": b""}
 
-    def packed(x: np.ndarray) -> bytes:
-        return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    def unpacked(blob: bytes) -> np.ndarray:
-        x = np.zeros((len(blob) // 6, 8), np.uint8)
-        x[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-        return x.view("<u8").ravel()
+def _one_pass(docs: DataFrame, rules: JoinRules, flush: int = 1 << 20) -> DataFrame:
+    """All that is wanted of the texts, in rows of three kinds: profiles (doc_id, n, digest as hi and lo, bits); signatures
+    with their classes in blobs, ``flush`` at a time; and how often a frequent one (hi) occurs in such a blob (n)."""
 
-    def ordered(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
-        keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
-        return sig[keep], cls[keep]
+    def frame(kind: int, **columns) -> pd.DataFrame:
+        size = len(next(iter(columns.values())))
+        return pd.DataFrame({"kind": np.full(size, kind, np.int32), **{c: columns.get(c, [v] * size) for c, v in _REST.items()}})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(rules)
@@ -239,34 +270,75 @@ def _shared_signatures(docs: DataFrame, rules: JoinRules, flush: int = 2 << 20)
         classes: list[np.ndarray] = []
         held, seen = 0, set()
 
-        def send() -> pd.DataFrame:
-            sig, cls = ordered(np.concatenate(sigs), np.concatenate(classes))
-            at = np.searchsorted(sig, limits)
-            parts = zip(np.split(sig, at), np.split(cls, at), strict=True)
-            return pd.DataFrame([(k, packed(x), packed(y)) for k, (x, y) in enumerate(parts) if len(x)], columns=["bucket", "sigs", "classes"])
+        def send() -> Iterator[pd.DataFrame]:
+            sig, cls = _ordered(np.concatenate(sigs), np.concatenate(classes))
+            cuts = np.searchsorted(sig, np.array([k << 42 for k in range(1, 64)], np.uint64))
+            parts = [(x, y) for x, y in zip(np.split(sig, cuts), np.split(cls, cuts), strict=True) if len(x)]
+            yield frame(SIGNATURES, sigs=[_packed(x) for x, _ in parts], classes=[_packed(y) for _, y in parts])
+            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            often = np.diff(np.append(starts, len(sig)))
+            many = often >= min(64, rules.bucket)
+            if many.any():
+                yield frame(COUNTS, hi=sig[starts[many]].astype(np.int64), n=often[many])
 
         for pdf in batches:
-            for text in pdf["text"]:
-                s = shingles(text, rules.width)
-                if not len(s):
-                    continue
-                cls = digest(s)[1]
-                if cls in seen:  # a copy of a text in this round
-                    continue
-                seen.add(cls)
-                got = signatures(s, bands, rules)
-                sigs.append(got)
-                classes.append(np.full(len(got), cls & SHORT, np.uint64))
-                held += len(got)
-                if held >= flush:
-                    yield send()
-                    sigs, classes, held = [], [], 0
-                    seen.clear()
+            for part in slices_by_bytes(pdf["text"]):
+                profiles = []
+                for doc, text in zip(pdf["doc_id"].loc[part.index].tolist(), part, strict=True):
+                    s = shingles(text, rules.width)
+                    hi, lo = digest(s)
+                    profiles.append((doc, len(s), hi, lo, bitmap(s, rules.least_bits).tobytes()))
+                    if not len(s) or lo in seen:  # nothing, or a copy of a text in this round
+                        continue
+                    seen.add(lo)
+                    got = signatures(s, bands, rules) & np.uint64(SHORT)
+                    sigs.append(got)
+                    classes.append(np.full(len(got), lo & SHORT, np.uint64))
+                    held += len(got)
+                    if held >= flush:
+                        yield from send()
+                        sigs, classes, held = [], [], 0
+                        seen.clear()
+                if profiles:
+                    yield frame(PROFILE, **dict(zip(["doc_id", "n", "hi", "lo", "bits"], zip(*profiles, strict=True), strict=True)))
         if held:
-            yield send()
+            yield from send()
+
+    return docs.mapInPandas(run, ", ".join(f"{k} {v}" for k, v in FRAME.items()))
+
+
+def _shared_signatures(rows: DataFrame, rules: JoinRules) -> DataFrame:
+    """(group, short): the groups of two or more classes that share a signature, each once, with the last 48 bits of each
+    class's digest. ``rows``: those of ``_one_pass``, checkpointed."""
+    blobs = rows.where(F.col("kind") == SIGNATURES).select("sigs", "classes")
+    total = blobs.agg(F.sum(F.octet_length("sigs").cast("long"))).collect()[0][0] or 0  # one row
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (6 * rules.bucket)))
+    limits = np.array([(k << 48) // buckets for k in range(1, buckets)], np.uint64)
+    # a hot signature takes rules.bucket of the signatures, so this list is short: 8 MB for 100 TB of text, about
+    counted = rows.where(F.col("kind") == COUNTS).groupBy("hi").agg(F.sum("n").alias("n")).where(F.col("n") > rules.bucket)
+    hot = np.array(sorted(r["hi"] for r in counted.select("hi").collect()), np.uint64)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for sig, cls in zip(map(_unpacked, pdf["sigs"]), map(_unpacked, pdf["classes"]), strict=True):
+                if len(hot):
+                    cool = ~np.isin(sig, hot)
+                    sig, cls = sig[cool], cls[cool]
+                first, last = (np.searchsorted(limits, sig[[0, -1]], side="right") if len(sig) else (0, -1))
+                at = np.searchsorted(sig, limits[first:last])
+                parts = zip(np.split(sig, at), np.split(cls, at), strict=True) if len(sig) else ()
+                out += [(first + k, _packed(x), _packed(y)) for k, (x, y) in enumerate(parts) if len(x)]
+            yield pd.DataFrame(out, columns=["bucket", "sigs", "classes"])
+
+    def by_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for sig, cls in zip(map(_unpacked, pdf["sigs"]), map(_unpacked, pdf["classes"]), strict=True):
+                mine = np.isin(sig, hot)
+                yield pd.DataFrame({"group": mixed(sig[mine]).view(np.int64), "short": cls[mine].astype(np.int64)})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, cls = ordered(np.concatenate([unpacked(x) for x in pdf["sigs"]]), np.concatenate([unpacked(x) for x in pdf["classes"]]))
+        sig, cls = _ordered(np.concatenate([_unpacked(x) for x in pdf["sigs"]]), np.concatenate([_unpacked(x) for x in pdf["classes"]]))
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         counts = np.diff(np.append(starts, len(sig)))
         # groups with the same members say the same; a group's name is a sum over them
@@ -276,8 +348,10 @@ def _shared_signatures(docs: DataFrame, rules: JoinRules, flush: int = 2 << 20)
         rows = np.repeat(starts[shared] - np.concatenate([[0], np.cumsum(counts[shared])[:-1]]), counts[shared]) + np.arange(counts[shared].sum()) if len(shared) else np.empty(0, np.int64)
         return pd.DataFrame({"group": np.repeat(name[shared].view(np.int64), counts[shared]), "short": cls[rows].astype(np.int64)})
 
-    found = docs.select("text").mapInPandas(run, "bucket int, sigs binary, classes binary")
-    return found.groupBy("bucket").applyInPandas(meet, "group long, short long").distinct()
+    found = blobs.mapInPandas(deal, "bucket long, sigs binary, classes binary").groupBy("bucket").applyInPandas(meet, "group long, short long")
+    if len(hot):
+        found = found.union(blobs.mapInPandas(by_class, "group long, short long"))
+    return found.distinct()
 
 
 def _level(rules: JoinRules) -> Column:
@@ -313,7 +387,9 @@ def _in_tiles(rows: DataFrame, group: str, large: DataFrame, payload: str, rules
     none = F.slice(same, 1, 0)
     both = F.concat(same, F.when(occurs(F.col("level") + 1), up).otherwise(none), F.when(occurs(F.col("level") - 1), down).otherwise(none))
     tiles = F.when(F.col("blocks") == 1, same).otherwise(both)
-    return dealt.select(group, "id", "n", payload, F.explode(tiles).alias("t")).select(group, "id", "n", payload, "t.*")
+    dealt = dealt.select(group, "id", "n", payload, (F.col("blocks") == 1).alias("whole"), F.explode(tiles).alias("t"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select(group, "id", "n", payload, "whole", "t.*").repartition(parts, group, *TILE).sortWithinPartitions(group, *TILE)
 
 
 def _sides(side: np.ndarray, l1: int, c1: int, l2: int, c2: int) -> np.ndarray | None:
@@ -323,67 +399,85 @@ def _sides(side: np.ndarray, l1: int, c1: int, l2: int, c2: int) -> np.ndarray |
     return None if side.all() or not side.any() else side
 
 
-def _pairs(ids: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"], dtype="int64")
+TILE = ["l1", "c1", "l2", "c2"]
+
 
+EDGES = "a long, b long"
 
-TILE = ["l1", "c1", "l2", "c2"]
+
+def _frame(edges: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(edges, columns=columns, dtype="int64")
 
 
 def _bitmap_edges(shared: DataFrame, classes: DataFrame, rules: JoinRules) -> DataFrame:
     """Edges (a, b) between representatives that share a signature and pass the bitmap bound."""
-    shared = cut_lineage(shared)
     found = shared.join(classes.select(F.col("lo").bitwiseAND(F.lit(SHORT)).alias("short"), F.col("rep").alias("id"), "n", "bits"), "short").drop("short")
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[tuple[int, int]] = set()
-        edges: list[tuple[int, int]] = []
+        forest, edges = Forest(), []
         for (_, *tile), rows in sorted_runs(batches, ["group", *TILE]):
             side = _sides(rows["side"], *tile)
             if side is None or len(side) < 2:
                 continue
             ids = rows["id"].tolist()
-            for i, j in link_tile(rows["n"], [np.frombuffer(b, np.uint64) for b in rows["bits"]], side, rules):
-                pair = (ids[i], ids[j])
-                if pair not in done:
-                    done.add(pair)
-                    edges.append(pair)
+            links = link_tile(rows["n"], [np.frombuffer(b, np.uint64) for b in rows["bits"]], side, rules)
+            edges += [(ids[i], ids[j]) for i, j in links if forest.join(ids[i], ids[j])]
             if len(edges) >= 100_000:
-                yield pd.DataFrame(edges, columns=["a", "b"])
+                yield _frame(edges, ["a", "b"])
                 edges = []
-                if len(done) > 1_000_000:
-                    done.clear()
-        yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+                if len(forest.above) > 1_000_000:
+                    forest = Forest()
+        yield _frame(edges, ["a", "b"])
 
-    tiled = _in_tiles(found, "group", _large_groups(found.select("group", "n"), "group", rules), "bits", rules)
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiled.repartition(parts, "group", *TILE).sortWithinPartitions("group", *TILE).mapInPandas(compare, "a long, b long")
+    return _in_tiles(found, "group", _large_groups(found.select("group", "n"), "group", rules), "bits", rules).mapInPandas(compare, EDGES)
 
 
 def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
-    """Exact links (a, b) inside the families; ``family``: (doc_id, family, n) of representatives."""
+    """(a, b, final): exact links inside the families; the final ones lead from a document to the smallest of its component.
+    ``family``: (doc_id, family, n) of representatives."""
     texts = docs.join(family, "doc_id").select("family", F.col("doc_id").alias("id"), "n", "text").dropDuplicates(["id"])
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = _sides(pdf["side"].to_numpy(), *pdf[TILE].iloc[0])
-        if side is None:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = [shingles(t, rules.width) for t in pdf["text"]]
-        size = np.array([len(s) for s in sets], np.int64)
-        return _pairs(pdf["id"].to_numpy(np.int64), link_tile(size, [bitmap(s, rules.least_bits) for s in sets], side, rules, sets))
-
-    return _in_tiles(texts, "family", _large_groups(family, "family", rules), "text", rules).groupBy("family", *TILE).applyInPandas(compare, "a long, b long")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links: list[tuple] = []
+        for (_, *tile), rows in sorted_runs(batches, ["family", *TILE]):
+            side = _sides(rows["side"], *tile)
+            if side is None or len(side) < 2:
+                continue
+            sets = [shingles(t, rules.width) for t in rows["text"]]
+            size = np.array([len(s) for s in sets], np.int64)
+            ids = rows["id"].tolist()
+            pairs = [(ids[i], ids[j]) for i, j in link_tile(size, [bitmap(s, rules.least_bits) for s in sets], side, rules, sets)]
+            if rows["whole"][0]:
+                forest = Forest()
+                for x, y in pairs:
+                    forest.join(x, y)
+                links += [(x, forest.root(x), 1) for x in {x for pair in pairs for x in pair} if forest.root(x) != x]
+            else:
+                links += [(x, y, 0) for x, y in pairs]
+            if len(links) >= 100_000:
+                yield _frame(links, ["a", "b", "final"])
+                links = []
+        yield _frame(links, ["a", "b", "final"])
+
+    return _in_tiles(texts, "family", _large_groups(family, "family", rules), "text", rules).mapInPandas(compare, f"{EDGES}, final long")
 
 
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with an id: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text"))
     keyed = texts.where("doc_id is not null")
-    profiles = cut_lineage(_profiles(keyed, rules))
+    rows = cut_lineage(_one_pass(keyed, rules))
+    profiles = rows.where(F.col("kind") == PROFILE).select("doc_id", "n", "hi", "lo", "bits")
     filled = profiles.where("n > 0")
     classes = cut_lineage(filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")))
-    family = connected_components(_bitmap_edges(_shared_signatures(keyed, rules), classes, rules))
+    shared = cut_lineage(_shared_signatures(rows, rules))
+    family = connected_components(_bitmap_edges(shared, classes, rules))
     members = classes.select(F.col("rep").alias("doc_id"), "n").join(family, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("family"), "n")
-    linked = connected_components(_links(keyed, cut_lineage(members.dropDuplicates(["doc_id"])), rules))
+    links = cut_lineage(_links(keyed, cut_lineage(members.dropDuplicates(["doc_id"])), rules))
+    linked = links.where("final = 1").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    open_ = links.where("final = 0").select("a", "b")
+    if not open_.isEmpty():
+        linked = linked.union(connected_components(open_))
     grouped = classes.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     held = filled.select("doc_id", "n", "hi", "lo").join(grouped, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     bare = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -299,6 +299,24 @@ def test_join_is_exact(spark, cell):
     assert sum(v[1] != k for k, v in got.items()) > 50
 
 
+def test_join_is_exact_with_hot_signatures(spark):
+    """Signatures of more than three classes go by class, not by bucket."""
+    rows = near_copies(random.Random(2), 250)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, JoinRules(bucket=3, cell_docs=8)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_unrelated_sets_share_no_signature():
+    rng = np.random.default_rng(6)
+    rules = JoinRules()
+    bands = Bands(rules)
+    for size in (20, 100, 320, 800, 1100, 1600, 3000):
+        sets = [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) << np.uint64(1)) for _ in range(150)]
+        got = Counter(x for s in sets for x in signatures(s, bands, rules).tolist())
+        assert sum(n > 1 for n in got.values()) <= 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 1 << 30), st.data())
 def test_linked_sets_share_a_signature(size, seed, data):
