@@ -4,17 +4,20 @@ Equal vectors are one node. Nearness is the inner product itself, in the graph t
 lists of others lead to them, as a search for the largest product needs. The search scores original vectors in double
 precision.
 
-Building: nodes meet in random blocks of bounded size for a first neighbour list. Then Spark joins repeat: every node gathers
-its neighbours and the nodes that have it as a neighbour, all of these are compared with each other, and each keeps the best
-of what it was offered, until few lists change. In this step vectors travel as 16-bit floats, and the nodes that point to
-one are its ``reverse`` nearest, cut off before the shuffle, so a hub sends no more than others.
+Building: nodes meet in small random blocks, ``starts`` times, for a first neighbour list. Then Spark joins repeat: every node
+gathers its neighbours and the nodes that have it as a neighbour, all of these are compared with each other, and each keeps
+the best of what it was offered, until few entries change. In this step vectors travel as unit vectors of 16-bit floats
+with their norm, and the nodes that point to one are its ``reverse`` nearest, cut off before the shuffle, so a hub sends no
+more than others.
 
-Search: a query starts from its own node's list (or ``entries`` nodes, if it isn't one) and opens the best ``beam`` nodes it
-knows, round after round, until none of them is new. Requests go to the nodes' blocks with the query vector once per block;
-a block answers with the nodes that beat the beam, and with their neighbours, so a round is two shuffles.
+Search: a query starts from its own node's list and opens the best ``beam`` nodes it knows, round after round, until none of
+them is new. Then it opens half as many again, and so on until that changes at most one in twenty of the ``k`` best: hard
+queries, and those in large tables, widen their beam themselves. Requests go to the nodes' blocks with the query vector once
+per block; a block answers with the nodes that beat the beam, and with their neighbours, so a round is two shuffles.
 
 Defined results: null, zero or non-finite vectors, null components, vectors of another length than most, and null ids take no
-part; repeated ids count once; fewer candidates than ``k`` give fewer rows.
+part; of rows with one id, that whose vector has the smallest digest counts, once; fewer candidates than ``k`` give fewer
+rows; equal vectors are one node, of which the ``k + 1`` smallest ids can be in a result.
 """
 
 from __future__ import annotations
@@ -35,19 +38,18 @@ from .common import col, cut_lineage, sorted_runs
 @dataclass(frozen=True)
 class GraphRules:
     """``neighbours``: length of a list; ``reverse``: pointing nodes that join in; ``offers``: best partners that a node is
-    offered in one comparison; ``block``: nodes compared with each other at the start, ``starts`` times; ``rounds`` at most,
-    fewer if under ``settled`` of the lists' entries change; ``beam``: nodes that a search keeps open; ``index_block``: nodes
-    in a block of the index, about."""
-
-    neighbours: int = 24
-    reverse: int = 24
-    offers: int = 8
-    block: int = 8192
-    starts: int = 2
-    rounds: int = 6
-    settled: float = 0.02
-    beam: int = 240
-    hops: int = 12
+    offered in one comparison; ``block``: nodes compared with each other at the start, ``starts`` times, twice at least to
+    connect the blocks; rounds end when under ``settled`` of the lists' entries change (or after ``rounds``, if given);
+    ``beam``: nodes that a search keeps open at first; ``index_block``: nodes in a block of the index, about."""
+
+    neighbours: int = 32
+    reverse: int = 32
+    offers: int = 10
+    block: int = 256
+    starts: int = 3
+    rounds: int | None = None
+    settled: float = 0.1
+    beam: int = 160
     index_block: int = 2048
     seed: int = 11
 
@@ -67,13 +69,26 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["vec_id", "dim", "vec", "hi", "lo"])
 
     rows = vectors.select(col(vectors, id_col).cast("long").alias("vec_id"), col(vectors, vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
-    return rows.mapInPandas(run, "vec_id long, dim int, vec binary, hi long, lo long").dropDuplicates(["vec_id"])
+    found = rows.mapInPandas(run, "vec_id long, dim int, vec binary, hi long, lo long")
+    return found.groupBy("vec_id").agg(F.min(F.struct("hi", "lo", "dim", "vec")).alias("v")).select("vec_id", "v.*")
 
 
 def _matrix(blobs, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
+def _short(vec: bytes, most: float) -> bytes:
+    """A vector as its norm over ``most``, in 32 bits, and its direction, in 16 each."""
+    v = np.frombuffer(vec, "<f8") / most
+    norm = float(np.sqrt(np.square(v).sum()))
+    return np.float32(norm).tobytes() + (v / max(norm, 1e-300)).astype("<f2").tobytes()
+
+
+def _shorts(blobs) -> np.ndarray:
+    raw = _matrix(blobs, np.uint8)
+    return raw[:, 4:].copy().view("<f2").astype(np.float32) * raw[:, :4].copy().view("<f4")
+
+
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
     k = min(k, scores.shape[1])
     return np.argpartition(-scores, k - 1, axis=1)[:, :k] if k else np.empty((len(scores), 0), np.int64)
@@ -99,7 +114,7 @@ def _first_lists(nodes: DataFrame, n: int, salt: int, rules: GraphRules) -> Data
     blocks = -(-n // rules.block)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["id"].to_numpy(np.int64), _matrix(pdf["wide"], "<f2").astype(np.float32)
+        ids, x = pdf["id"].to_numpy(np.int64), _shorts(pdf["wide"])
         out = []
         for at in range(0, len(ids), 512):
             s = x[at : at + 512] @ x.T
@@ -160,7 +175,7 @@ def _offers(members: DataFrame, rules: GraphRules, parts: int) -> DataFrame:
             ids, first = np.unique(pdf["id"], return_index=True)
             if len(ids) < 2:
                 continue
-            x = _matrix(pdf["wide"][first], "<f2").astype(np.float32)
+            x = _shorts(pdf["wide"][first])
             bar = pdf["bar"][first].astype(np.float32)
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
@@ -192,14 +207,11 @@ def build_graph(nodes: DataFrame, n: int, files: int, rules: GraphRules = GraphR
     """``nodes``: ``n`` rows (id, wide), checkpointed. Returns (id, near, sims), best neighbours first, in ``files`` parts at
     most."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = 1 if n <= rules.block else rules.starts
     first = None
-    for salt in range(starts):
+    for salt in range(rules.starts):
         lists = _first_lists(nodes, max(n, 1), rules.seed + salt, rules).withColumn("kind", F.lit(0))
         first = lists if first is None else first.union(lists)
     graph = cut_lineage(_keep_best(first, rules, parts, files))
-    if n <= rules.block:
-        return graph  # every node has met every other
     ranks = Window.partitionBy("v").orderBy(F.desc("s"), "u")
 
     def last_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +219,9 @@ def build_graph(nodes: DataFrame, n: int, files: int, rules: GraphRules = GraphR
             bars = [float(s[-1]) if len(s) >= rules.neighbours else -np.inf for _, s in _lists(pdf)]
             yield pd.DataFrame({"id": pdf["id"], "bar": np.array(bars, np.float32)})
 
-    for _ in range(rules.rounds):
+    done = 0
+    while rules.rounds is None or done < rules.rounds:  # lists only get better, so that changes come to an end
+        done += 1
         edges = _edges(graph)
         back = edges.withColumn("r", F.row_number().over(ranks)).where(F.col("r") <= rules.reverse)
         pairs = edges.select(F.col("u").alias("pivot"), F.col("v").alias("id")).union(back.select("v", "u")).union(graph.select("id", "id"))
@@ -218,7 +232,7 @@ def build_graph(nodes: DataFrame, n: int, files: int, rules: GraphRules = GraphR
         del edges, back, pairs, bars, members, lists
         changed = graph.agg(F.sum("changed")).collect()[0][0] or 0  # one row
         _reclaim(graph)
-        if changed < rules.settled * n * rules.neighbours:
+        if changed <= rules.settled * n * rules.neighbours:
             break
     return graph
 
@@ -227,7 +241,9 @@ def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
     return ((ids * -7046029254386353131) >> 33) % blocks
 
 
-STATE = "kind int, id long, block int, bar double, vec binary, near binary, sims binary, more binary"
+STATE = "kind int, id long, block int, bar double, vec binary, near binary, sims binary, more binary, beam int, top binary"
+#: The known nodes that a search remembers, and its next beam, as multiples of the beam.
+RESERVE, WIDER = 2.25, 1.5
 
 
 def search_graph(index: DataFrame, blocks: int, files: int, starts: DataFrame, k: int, rules: GraphRules) -> DataFrame:
@@ -235,22 +251,22 @@ def search_graph(index: DataFrame, blocks: int, files: int, starts: DataFrame, k
     besides the node of the query's own id. Returns (q, id, score): the best ``k`` nodes found per query, the query's own
     node among them if it is one."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    beam = max(rules.beam, k)
-    names = ["kind", "id", "block", "bar", "vec", "near", "sims", "more"]
+    names = [x.split()[0] for x in STATE.split(", ")]
 
-    def requests(node: int, bar: float, vec: bytes, wanted: np.ndarray) -> list[tuple]:
+    def requests(node: int, bar: float, vec: bytes, wanted: np.ndarray, beam: int) -> list[tuple]:
         if not len(wanted):
             return []
         at = block_of(wanted, blocks)
-        return [(1, node, int(b), bar, vec, wanted[at == b].tobytes(), b"", b"") for b in np.unique(at)]
+        return [(1, node, int(b), bar, vec, wanted[at == b].tobytes(), b"", b"", beam, b"") for b in np.unique(at)]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        beam = max(rules.beam, k)
         for pdf in batches:
             out = []
             for node, vec, near in zip(pdf["id"], pdf["vec"], pdf["near"], strict=True):
                 wanted = np.unique(np.append(np.frombuffer(near, np.int64), node))
-                out.append((0, node, -1, -np.inf, vec, b"", b"", wanted.tobytes()))
-                out += requests(node, -np.inf, vec, wanted)
+                out.append((0, node, -1, -np.inf, vec, b"", b"", wanted.tobytes(), beam, b""))
+                out += requests(node, -np.inf, vec, wanted, beam)
             yield pd.DataFrame(out, columns=names)
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -262,21 +278,23 @@ def search_graph(index: DataFrame, blocks: int, files: int, starts: DataFrame, k
         ids, x = ids[order], _matrix(left["vec"].iloc[order], "<f8")
         lists = left["near"].iloc[order].tolist()
         out = []
-        for node, bar, vec, want in zip(right["id"], right["bar"], right["vec"], right["near"], strict=True):
+        for node, bar, vec, want, beam in zip(right["id"], right["bar"], right["vec"], right["near"], right["beam"], strict=True):
             wanted = np.frombuffer(want, np.int64)
             at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
             at = at[ids[at] == wanted]
             s = (x[at] * np.frombuffer(vec, "<f8")).sum(axis=1)
             good = np.flatnonzero(s >= bar)
-            if len(good) > beam:
-                good = good[np.argpartition(-s[good], beam - 1)[:beam]]
+            most = int(RESERVE * beam)
+            if len(good) > most:
+                good = good[np.argpartition(-s[good], most - 1)[:most]]
             if len(good):
                 near = [lists[i] for i in at[good]]
-                out.append((2, node, -1, 0.0, b"", ids[at[good]].tobytes(), s[good].tobytes(), np.array([len(b) // 8 for b in near], np.int64).tobytes() + b"".join(near)))
+                out.append((2, node, -1, 0.0, b"", ids[at[good]].tobytes(), s[good].tobytes(), np.array([len(b) // 8 for b in near], np.int64).tobytes() + b"".join(near), 0, b""))
         return pd.DataFrame(out, columns=names)
 
     def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per query: its state (kind 0; ``more``: all ids asked for so far) and answers (kind 2) give the next state and requests."""
+        """Per query: its state (kind 0; ``more``: all ids asked for so far; ``top``: the best that the beam before had found) and
+        answers (kind 2) give the next state and requests."""
         out = []
         for (node,), pdf in sorted_runs(batches, ["id"]):
             at = int(np.flatnonzero(pdf["kind"] == 0)[0])
@@ -289,23 +307,30 @@ def search_graph(index: DataFrame, blocks: int, files: int, starts: DataFrame, k
                 parts_.append((got, np.frombuffer(sims, np.float64)))
                 sizes = np.frombuffer(more, np.int64, len(got))
                 offered.update(zip(got.tolist(), np.split(np.frombuffer(more, np.int64)[len(got) :], np.cumsum(sizes)[:-1]), strict=True))
-            near, sims = _merged(parts_, beam)
+            beam, top = int(state["beam"]), state["top"]
+            near, sims = _merged(parts_, int(RESERVE * beam))
             asked = np.frombuffer(state["more"], np.int64)
-            fresh = [offered[i] for i in near.tolist() if i in offered]
+            fresh = [offered[i] for i in near[:beam].tolist() if i in offered]
             wanted = np.setdiff1d(np.concatenate(fresh), asked) if fresh else np.empty(0, np.int64)
-            bar = float(sims[-1]) if len(near) >= beam else -np.inf
-            out.append((0, node, -1, bar, state["vec"], near.tobytes(), sims.tobytes(), np.union1d(asked, wanted).tobytes()))
-            out += requests(node, bar, state["vec"], wanted)
+            asked = np.union1d(asked, wanted)
+            if not len(wanted) and len(near) > beam:
+                best = near[:k]
+                if not top or len(np.setdiff1d(best, np.frombuffer(top, np.int64))) > k // 20:
+                    # asked again, the next nodes give their lists
+                    wider = int(WIDER * beam)
+                    wanted, beam, top = near[beam:wider], wider, best.tobytes()
+            bar = float(sims[-1]) if len(near) >= int(RESERVE * beam) else -np.inf
+            if len(wanted):
+                bar = min(bar, float(sims[np.isin(near, wanted)].min(initial=np.inf)))
+            out.append((0, node, -1, bar, state["vec"], near.tobytes(), sims.tobytes(), asked.tobytes(), beam, top))
+            out += requests(node, bar, state["vec"], wanted, beam)
             if len(out) >= 4096:
                 yield pd.DataFrame(out, columns=names)
                 out = []
         yield pd.DataFrame(out, columns=names)
 
     step = cut_lineage(starts.coalesce(files).mapInPandas(begin, STATE))
-    for _ in range(rules.hops):
-        asks = step.where("kind = 1")
-        if asks.isEmpty():
-            break
+    while not (asks := step.where("kind = 1")).isEmpty():  # a node is asked for once, and once more for each wider beam
         answers = index.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(answer, STATE)
         step = cut_lineage(step.where("kind = 0").union(answers).repartition(parts, "id").sortWithinPartitions("id").coalesce(files).mapInPandas(advance, STATE))
         del asks, answers
@@ -342,7 +367,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules
 
     def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "wide": [(np.frombuffer(b, "<f8") / most).astype("<f2").tobytes() for b in pdf["vec"]]})
+            yield pd.DataFrame({"id": pdf["id"], "wide": [_short(b, most) for b in pdf["vec"]]})
 
     graph = build_graph(cut_lineage(nodes.mapInPandas(shorten, "id long, wide binary")), n, files, rules)
 

@@ -375,6 +375,45 @@ def test_recall_and_exact_scores(spark):
     assert np.mean(hits) > 0.9
 
 
+def exact_neighbours(x, q, k=20):
+    s = x @ x[q]
+    s[q] = -np.inf
+    return np.lexsort((np.arange(len(x)), -s))[:k].tolist()
+
+
+def recall(spark, x, every, rules=GraphRules()):
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in nearest(docs, F.col("vec_id") % every == 0, 20, rules).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sorted(found) == list(range(0, len(x), every))
+    return np.mean([len(found[q] & set(exact_neighbours(x, q))) / 20 for q in found])
+
+
+def test_rounds_run_on_small_tables_too(spark, monkeypatch):
+    from docquarry.llm import nn_descent as N
+
+    calls = []
+    real = N._offers
+    monkeypatch.setattr(N, "_offers", lambda *a: calls.append(1) or real(*a))
+    x = np.random.default_rng(1).normal(size=(500, 32))
+    assert recall(spark, x, 20) > 0.98 and len(calls) >= 2
+
+
+def test_one_long_vector_changes_nothing_for_the_others(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1e7
+    assert recall(spark, x, 40, GraphRules(block=128)) > 0.95
+
+
+def test_rows_of_one_id(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(40)] + [(3, [5.0, 5.0]), (3, [2.0, 9.0])]
+    runs = [{tuple(r) for r in nearest(spark.createDataFrame(some, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()} for some in (rows, rows[::-1])]
+    assert runs[0] == runs[1]
+
+
 # Sharding
 
 
