@@ -5,10 +5,11 @@ to the open sequence, or a new one, after which the sum over all residual gaps o
 with that gap is smallest. This keeps the gaps varied, so that later pieces find a fit. Long pieces go first.
 
 Packing runs inside the partitions that tokenise, on lengths alone; nothing is shuffled and no task sees more than its
-own split. Sequences whose gap is too large are few in each partition; their pieces meet in a second, small round over
-``spread`` partitions, where the same rule packs them again. Both rounds are pure functions of their rows.
+own split. Sequences whose gap is too large are few in each partition; their pieces meet in a second, small round, a partition
+for every ``spread`` of them, where the same rule packs them again. A round sorts its pieces before it packs them, and the
+second reads what the first has checkpointed, so a task that runs again gives every piece the same place.
 
-Defined results: a null text packs as the empty text (the end id alone, one token); repeated rows are packed one by one;
+Defined results: pieces of one length go by document id, piece and checksum; a null text packs as the empty text (the end id alone, one token); repeated rows are packed one by one;
 an empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -89,11 +90,10 @@ def best_fit_packing(
     text_col: str = "text",
     make_tokens: Callable[[str], WordTokens] = WordTokens,
     loose_gap: int | None = None,
-    spread: int | None = None,
+    spread: int = 1 << 16,
 ) -> DataFrame:
     """One row per piece: ``SCHEMA``. ``loose_gap``: sequences with a larger gap after the first round are packed again
-    (default 1/64 of the capacity); ``spread``: partitions of the second round, a sixteenth of the session's shuffle
-    partitions by default."""
+    (default 1/64 of the capacity); ``spread``: pieces in a partition of the second round, about."""
     loose = capacity // 64 if loose_gap is None else loose_gap
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,14 +102,15 @@ def best_fit_packing(
         for pdf in batches:
             for part in slices_by_bytes(pdf["text"], 1 << 20):
                 found += pieces(list(part), pdf["doc_id"].loc[part.index].astype(object).where(pdf["doc_id"].loc[part.index].notna(), None).tolist(), tokens, capacity, end_id)
-        yield from placed(found, loose, 0)
+        pdf = pd.DataFrame(found, columns=PIECE)
+        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
+        yield from placed(pdf, loose, 0)
 
-    def placed(found: list[tuple], gap: int, base: int) -> Iterator[pd.DataFrame]:
+    def placed(pdf: pd.DataFrame, gap: int, base: int) -> Iterator[pd.DataFrame]:
         """Rows of a whole partition; pieces of sequences with a larger gap get no sequence yet."""
-        if not found:
+        if pdf.empty:
             return
-        pdf = pd.DataFrame(found, columns=PIECE)
-        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         length = pdf["length"].to_numpy(np.int64)
         bins, offsets, used = pack(length, capacity)
         full = np.bincount(bins, weights=length, minlength=used)
@@ -120,12 +121,13 @@ def best_fit_packing(
         yield pdf
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [row for pdf in batches for row in pdf[PIECE].astype(object).where(pdf[PIECE].notna(), None).itertuples(index=False, name=None)]
-        yield from placed(found, capacity, 1 << 62)
+        parts = [pdf[PIECE].astype({"doc_id": "Int64"}) for pdf in batches if len(pdf)]
+        if parts:
+            yield from placed(pd.concat(parts, ignore_index=True), capacity, 1 << 62)
 
     texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text"))
     once = cut_lineage(texts.mapInPandas(first, SCHEMA))
     tight = once.where("sequence_id is not null")
-    count = spread or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
-    rest = once.where("sequence_id is null").repartition(count, "doc_id", "piece")
+    rest = once.where("sequence_id is null")
+    rest = rest.repartition(max(1, -(-rest.count() // spread)), "doc_id", "piece", "ids_crc32")
     return tight.unionByName(rest.mapInPandas(second, SCHEMA))
