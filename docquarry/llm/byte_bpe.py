@@ -98,6 +98,9 @@ class MergeTable:
 class ByteBPE:
     """Encoder and decoder for one vocabulary of byte strings and ranks, as the tiktoken library uses it."""
 
+    #: Longer units aren't kept: a text without blanks is one unit.
+    LONGEST = 64
+
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 300_000):
         self.ranks, self.pattern, self.cache_size = ranks, regex.compile(pattern), cache_size
         self.has_newer, self.newer = Finder(newer_characters()), regex.compile(f"[{newer_characters()}]")
@@ -223,7 +226,11 @@ class ByteBPE:
         ids = dict(zip(todo, (a.tobytes() for a in self.merge(todo)), strict=True))
         for unit, m in zip(new, whole, strict=True):
             cache[unit] = b"".join(ids[p] if p in ids else self.ranks[p].to_bytes(4, "little") for p in m)
-        return [b"".join(map(cache.__getitem__, u)) for u in split]
+        out = [b"".join(map(cache.__getitem__, u)) for u in split]
+        for unit in new:
+            if len(unit) > self.LONGEST:
+                del cache[unit]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_slice([text])[0], "<u4").tolist()

@@ -25,6 +25,9 @@ SPECIAL = "\x1c-\x1fΣ"
 
 
 class WordTokens:
+    #: Longer words aren't kept: a text without blanks is one word.
+    LONGEST = 64
+
     def __init__(self, path: str, cache_size: int = 800_000, batch: int = 50_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,7 +59,11 @@ class WordTokens:
         new = list(set().union(*(x for x in split if x is not None)) - cache.keys())
         for at in range(0, len(new), self.batch):
             self._learn(new[at : at + self.batch])
-        return [self._whole(t) if x is None else b"".join(map(cache.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
+        out = [self._whole(t) if x is None else b"".join(map(cache.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
+        for word in new:
+            if len(word) > self.LONGEST:
+                del cache[word]
+        return out
 
     @staticmethod
     def _normal(text: str) -> str:
