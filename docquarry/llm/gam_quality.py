@@ -8,7 +8,8 @@ bins are found once, and everything else is array additions.
 Features come from the text alone (never from labels, language, source or id). The model is fitted on a bounded sample of
 labelled rows, ``max_rows`` at most, drawn by a hash of the id. Scoring covers every row and shuffles nothing.
 
-Defined results: a null text is scored as the empty text; rows without a label, or with a null label or id, teach
+Defined results: a null text is scored as the empty text, equal texts get equal scores; of documents that
+share a labelled id, that with the smallest features teaches; rows without a label, or with a null label or id, teach
 nothing; with no labelled rows of both kinds, every score is the share of label 1 among those seen, or 0.5.
 """
 
@@ -209,8 +210,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, trains: Column, max_rows:
     few = usable.withColumn("draw", hash_fraction(F.col("id"))).where(F.col("draw") < min(1.0, 1.2 * max_rows / max(1, n)))
     chosen = few.orderBy("draw", "id", "y").limit(max_rows).select("id", "y")
     texts = docs.select(col(docs, id_col).alias("id"), col(docs, text_col).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id").select("y", feature_udf()("text").alias("x"))  # max_rows ids of 8 bytes
-    found = joined.toPandas()
+    joined = texts.join(F.broadcast(chosen), "id").select("id", "y", feature_udf()("text").alias("x"))  # max_rows ids of 8 bytes
+    found = joined.groupBy("id", "y").agg(F.min("x").alias("x")).toPandas()  # one text per labelled id, however often it occurs
     found = found.assign(key=[tuple(r) for r in found["x"]]).sort_values(["key", "y"])  # the same model in whatever order rows come
     x = np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, found["y"].to_numpy(np.float64))
