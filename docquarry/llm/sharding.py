@@ -1,11 +1,12 @@
 """Sharding by global byte-size prefix sums.
 
-Documents stand in one total order (text checksum, size, id), so that equal texts are neighbours. Each range partition
+Documents stand in one total order (text checksum, size, 64-bit hash, id), so that equal texts are neighbours. A cut can
+fall inside a group of equal texts, as sizes would else not be near equal where a group is large. Each range partition
 reports its total bytes; running sums of these totals give every partition its global start, a second pass adds the
 sums inside the partition, and the global byte line is cut at equal targets into contiguous shards.
 
-Only (id, size, checksum) rows move, never texts. The driver sees one total per partition. Defined results: a null text
-has no bytes (size 1, checksum 0); repeated rows are placed one by one; an empty table gives an empty result; a document
+Only (id, size, checksum, hash) rows move, never texts. The driver sees one total per partition. Defined results: a null text
+has no bytes (size 1, checksum 0); rows equal in all of these are placed one by one; an empty table gives an empty result; a document
 larger than a target fills more than one shard's worth, so neighbouring shards may stay empty.
 """
 
@@ -33,10 +34,11 @@ def byte_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
         col(docs, id_col).cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("hash"),
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ("text_crc32", "size", "doc_id")
-    ranged = cut_lineage(sized.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    order = ("text_crc32", "size", "hash", "doc_id")
+    ranged = cut_lineage(sized.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("hash"))
     ranged = ranged.withColumn("part", F.spark_partition_id())
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes")).toPandas().sort_values("part")  # a row per partition
     starts = dict(zip(totals["part"], np.concatenate([[0], np.cumsum(totals["bytes"])[:-1]]) if len(totals) else [], strict=True))
