@@ -39,10 +39,12 @@ def col(df: DataFrame, name: str) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables: ``spark.checkpoint.dir`` if the session has it, else one set before, else
-    a new local one (single-machine sessions such as tests)."""
+    a new local one, in sessions of a single machine such as tests. On a cluster that names none this is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
