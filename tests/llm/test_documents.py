@@ -251,17 +251,17 @@ def test_planted_passages_are_found_and_clean_text_left_alone(spark):
 # Jaccard join
 
 
-def linked(x, y):
-    return bool(x and y) and 100 * len(x & y) >= 85 * len(x | y)
+def linked(x, y, percent=85):
+    return bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
 
 
-def brute_sets(text):
+def brute_sets(text, width=4):
     w = (text or "").encode().lower().split()
-    return ({tuple(w)} if w and len(w) < 4 else {tuple(w[i : i + 4]) for i in range(len(w) - 3)}) if w else set()
+    return ({tuple(w)} if w and len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}) if w else set()
 
 
-def brute_components(rows):
-    sets = {i: brute_sets(t) for i, t in rows}
+def brute_components(rows, width=4, percent=85):
+    sets = {i: brute_sets(t, width) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(i):
@@ -270,7 +270,7 @@ def brute_components(rows):
         return i
 
     for a, b in itertools.combinations(sets, 2):
-        if linked(sets[a], sets[b]):
+        if linked(sets[a], sets[b], percent):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -453,7 +453,7 @@ def test_pipeline_stages(spark):
     good, known, single, cut = kept
     assert all(i in good for i in before if labels.get(i) == 1) and sum(i not in good for i in before if labels.get(i) == 0) >= 50
     assert set(known) <= set(good) and len(known) >= 0.99 * len(good)
-    components = brute_components(list(known.items()))
+    components = brute_components(list(known.items()), 5, 80)  # near-duplicate stages take five words and 80 percent
     assert set(single) == {c for _, c in components.values()}
     assert set(cut) == set(single) and all(len(cut[i]) <= len(single[i]) for i in cut) and sum(cut[i] != single[i] for i in cut) > 10
     packed = P.packing(spark, docs, SF).collect()
