@@ -256,7 +256,7 @@ FRAME = {"kind": "int", "doc_id": "long", "n": "long", "hi": "long", "lo": "long
 _REST = {"doc_id": 0, "n": 0, "hi": 0, "lo": 0, "bits": b"", "sigs": b"", "classes": b""}
 
 
-def _one_pass(docs: DataFrame, rules: JoinRules, flush: int = 1 << 20) -> DataFrame:
+def _one_pass(docs: DataFrame, rules: JoinRules, flush: int = 1 << 19) -> DataFrame:
     """All that is wanted of the texts, in rows of three kinds: profiles (doc_id, n, digest as hi and lo, bits); signatures
     with their classes in blobs, ``flush`` at a time; and how often a frequent one (hi) occurs in such a blob (n)."""
 
