@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,9 +52,10 @@ def deduplicate_by_key(df: DataFrame, keys: Sequence[str], keep: str = "first",
     elif keep == "last":
         best = F.max_by("__row", "__at")
     else:
-        # nulls first, then greatest value; of equal values the first row
-        window = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy(F.col("__by").desc_nulls_last(), "__at")
-        return grouped.withColumn("__r", F.row_number().over(window)).where("__r = 1").select("__row.*")
+        # the first row of each value, then that of the greatest value; a null never wins over a value
+        names = [f"__k{i}" for i in range(len(keys))]
+        firsts = grouped.groupBy(*names, "__by").agg(F.min_by("__row", "__at").alias("__row"))
+        group, best = firsts.groupBy(*names), F.max_by("__row", F.struct(F.col("__by").isNotNull(), "__by"))
     return group.agg(best.alias("__row")).select("__row.*")
 
 

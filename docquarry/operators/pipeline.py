@@ -21,7 +21,7 @@ from ..sources.schema import to_frame
 from .filters import compile_filter
 from .projection import project
 
-HIDDEN = "__ord"
+HIDDEN = "__docquarry_order_"
 
 
 @dataclass(frozen=True)
@@ -255,7 +255,7 @@ def _fold(source, pipeline, order, collation, spark) -> tuple[DataFrame, DataFra
             state = {"$match": _match, "$group": _group, "$project": _project, "$limit": _limit, "$skip": _skip, "$unwind": _unwind, "$count": _count_stage}[name](state, spec)
         if name == "$group":
             groups = state.df
-    return state.df.drop(*[c for c in state.df.columns if c.startswith(HIDDEN)]), groups
+    return state.df.drop(*state.hidden), groups
 
 
 @dataclass

@@ -101,11 +101,13 @@ def compact(table: Table, target_bytes: int = 128 << 20, min_files: int = 2, str
         return result
     note("rewrite", 0.2)
     sources = [f for b in planned for f in b]
-    bin_of = table.spark.createDataFrame([(f["path"], i) for i, b in enumerate(planned) for f in b], "__name string, __bin int")
+    place = {path: i for i, path in enumerate(snap.files)}
+    planned.sort(key=lambda b: min(place[f["path"]] for f in b))
+    bin_of = table.spark.createDataFrame([(f["path"], i, place[f["path"]]) for i, b in enumerate(planned) for f in b], "__name string, __bin int, __seq long")
     df = table._scan(snap, sources, hidden=True).withColumn("__name", table._relative(F.col(FILE))).join(F.broadcast(bin_of), "__name")  # a row per small file
-    before = fingerprint(df.drop("__name", "__bin", FILE, ROW)) if verify else None
-    # one task, and so one file, per bin
-    dealt = df.repartitionByRange(len(planned), "__bin").drop("__name", "__bin", FILE, ROW)
+    before = fingerprint(df.drop("__name", "__bin", "__seq", FILE, ROW)) if verify else None
+    # one task, and so one file, per bin; rows keep the table's order in it
+    dealt = df.repartitionById(len(planned), F.col("__bin")).sortWithinPartitions("__seq", ROW).drop("__name", "__bin", "__seq", FILE, ROW)
     added = _stage_as_is(table, snap, dealt)
     if verify:
         note("verify", 0.8)

@@ -9,12 +9,14 @@ the folders of partitions only keep files apart.
 from __future__ import annotations
 
 import dataclasses
+import datetime as dt
 import json
 import re
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +30,12 @@ from ..plans.pushdown import column_predicates, file_can_match, partition_predic
 from .log import PROTOCOL, Action, CheckpointPolicy, Snapshot, TransactionLog, add_action, now_ms, parse_stats, remove_action
 from .schema import conform, infer_schema, merge_schemas, physical_names, physical_schema, to_frame
 from .storage import Storage, open_storage, parse_location
-from .vectors import load_vector
+from .vectors import parse_vector, vector_bytes
 
 DATA, STAGED = "data", "__part_"
 FILE, ROW = "__file", "__row"  # hidden columns of a scan: file path and row ordinal
+#: Names of hidden columns, which a table can't have as its own.
+RESERVED = frozenset({FILE, ROW, "__name", "__seq", "__sid", "__place", "__key", "__bin", "__dst", "__src"})
 _ORDERED = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 Rows = DataFrame | Sequence[Mapping]
 
@@ -112,8 +116,9 @@ class Table:
         df = self.spark.read.schema(physical_schema(schema, names)).parquet(*[self._path(f) for f in files])
         df = df.select(*[F.col(quoted(names.get(f.name, f.name))).alias(f.name) for f in schema.fields], *extra)
         if vectors:
-            dead = [(p, int(r)) for p, v in vectors.items() for r in load_vector(self.storage, v)]
-            gone = self.spark.createDataFrame(dead or [], f"dead string, {ROW}_dead long")
+            # compressed bitmaps travel; the executors unfold them
+            packed = [(p, bytearray(vector_bytes(self.storage, v)), v.get("cardinality")) for p, v in vectors.items()]
+            gone = self.spark.createDataFrame(packed, "dead string, bitmap binary, cardinality long").mapInPandas(unfolded, f"dead string, {ROW}_dead long")
             df = df.withColumn("__name", self._relative(F.col(FILE)))
             df = df.join(gone, (F.col("__name") == F.col("dead")) & (F.col(ROW) == F.col(f"{ROW}_dead")), "left_anti").drop("__name")
             if not hidden:
@@ -239,11 +244,11 @@ class Table:
         out = {}
         for r in df.groupBy(self._relative(F.col("_metadata.file_path")).alias("p")).agg(*aggs).collect():  # a row per new file
             # a NaN is in no interval, so a column that has one gets no bounds
-            known = [(i, f.name) for i, f in enumerate(columns) if f"q{i}" not in r or not r[f"q{i}"]]
+            known = [(i, f) for i, f in enumerate(columns) if f"q{i}" not in r or not r[f"q{i}"]]
             out[r["p"]] = {
                 "numRecords": r["n"],
-                "minValues": {n: _plain(r[f"l{i}"]) for i, n in known if r[f"l{i}"] is not None},
-                "maxValues": {n: _plain(r[f"h{i}"]) for i, n in known if r[f"h{i}"] is not None},
+                "minValues": {f.name: _plain(r[f"l{i}"], f.dataType) for i, f in known if r[f"l{i}"] is not None},
+                "maxValues": {f.name: _plain(r[f"h{i}"], f.dataType) for i, f in known if r[f"h{i}"] is not None},
                 "nullCount": {f.name: r[f"z{i}"] for i, f in enumerate(columns)},
             }
         return out
@@ -276,6 +281,8 @@ class Table:
             partitions, schema = snap.partition_columns, merge_schemas(snap.schema, df.schema)
             if partition_columns is not None and list(partition_columns) != partitions:
                 raise ValidationError(f"the table is partitioned by {partitions}", "partition_columns", list(partition_columns))
+        if taken := sorted(RESERVED & {c.lower() for c in schema.names}):
+            raise ValidationError(f"reserved column names {taken}", "columns", taken)
         if missing := [c for c in partitions if c not in schema.names]:
             raise ValidationError(f"unknown partition columns {missing}", "partition_columns", missing)
         if snap.metadata is None:
@@ -338,16 +345,19 @@ class Table:
         metadata = {**snap.metadata, "schemaString": merge_schemas(snap.schema, kinds).json()}
         return dataclasses.replace(snap, metadata=metadata), [{"metaData": metadata}]
 
-    def merge(self, rows: Rows, keys: Sequence[str], when_matched: Mapping[str, Column | object] | str | None = "update", when_not_matched: str | None = "insert", delete_when: Column | None = None, condition: Column | None = None) -> int | None:
+    def merge(self, rows: Rows, keys: Sequence[str], when_matched: Mapping[str, Column | object] | str | None = "update", when_not_matched: Mapping[str, Column | object] | str | None = "insert", delete_when: Column | None = None, condition: Column | None = None, insert_when: Column | None = None) -> int | None:
         """Upsert by key. Columns of the incoming rows are ``src.<name>`` and of the table ``dst.<name>`` in expressions.
         ``when_matched``: 'update' (take the incoming values), 'delete', None (keep), or expressions by column;
-        ``delete_when``: matched rows for which it holds go; ``condition``: what else a match needs (or, without keys, all it
-        needs: then each incoming row matches the first such row of the table). Only files with a match are read whole and
-        rewritten. ValidationError if several incoming rows match one row."""
-        plan = self._plan_merge(rows, keys, when_matched, when_not_matched, delete_when, condition)
+        ``delete_when``: matched rows for which it holds go; ``when_not_matched``: 'insert', None (skip), or expressions by
+        column over the incoming row, which else keeps its values; ``insert_when``: unmatched rows for which it doesn't hold
+        are skipped; ``condition``: what else a match needs (or, without keys, all it needs). Each incoming row changes the
+        first row of the table that it matches, in the table's own order. Only files with a match are read whole and
+        rewritten. ValidationError if several incoming rows match one row. A condition without keys compares every incoming
+        row with the whole table: it is for few incoming rows."""
+        plan = self._plan_merge(rows, keys, when_matched, when_not_matched, delete_when, condition, insert_when)
         return self._commit_merge(*plan)
 
-    def _plan_merge(self, rows: Rows, keys: Sequence[str], when_matched, when_not_matched, delete_when, condition) -> tuple[Snapshot, list[Action], list[dict], DataFrame]:
+    def _plan_merge(self, rows: Rows, keys: Sequence[str], when_matched, when_not_matched, delete_when, condition, insert_when=None) -> tuple[Snapshot, list[Action], list[dict], DataFrame]:
         df = self._as_frame(rows)
         base = self._base()
         snap = self.snapshot(base)
@@ -368,19 +378,31 @@ class Table:
         hits = table.join(df.select(*[quoted(k) for k in keys]), list(keys), "left_semi").select(self._relative(F.col(FILE)).alias("p")).distinct()
         touched = {r["p"] for r in hits.collect()}  # a row per file
         files = [f for f in files if f["path"] in touched]
-        changes = merge_changes(self._scan(snap, files, hidden=True), df, keys, schema, when_matched, when_not_matched, delete_when)
-        return snap, actions, files, changes
+        table = self._scan(snap, files, hidden=True)
+        if condition is None:
+            df = self._first_by_key(table, files, df, keys)
+        return snap, actions, files, merge_changes(table, df, schema, when_matched, when_not_matched, delete_when, insert_when)
+
+    def _ranked(self, table: DataFrame, files: Sequence[Mapping]) -> DataFrame:
+        """The scan with the place of each row in the table's own order."""
+        ranks = self.spark.createDataFrame([(f["path"], i) for i, f in enumerate(files)], "__name string, __seq long")
+        place = F.struct(F.col("__seq").alias("s"), F.col(ROW).alias("r"), F.col(FILE).alias("f")).alias("__place")
+        return table.withColumn("__name", self._relative(F.col(FILE))).join(ranks, "__name").select(*[F.col(quoted(c)) for c in table.columns], place)
+
+    def _first_by_key(self, table: DataFrame, files: Sequence[Mapping], df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """The incoming rows with file and ordinal of the first table row of their key; null without one."""
+        ours = self._ranked(table, files).groupBy(*[F.col(quoted(k)).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min("__place").alias("__place"))
+        on = [F.col(f"src.{quoted(k)}") == F.col(f"__k{i}") for i, k in enumerate(keys)]
+        return df.alias("src").join(ours, on, "left").select(*[F.col(f"src.{quoted(c)}") for c in df.columns], F.col("__place.f").alias(FILE), F.col("__place.r").alias(ROW))
 
     def _first_matches(self, table: DataFrame, files: Sequence[Mapping], df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
         """The incoming rows with file and ordinal of the first table row that each matches; null without one."""
-        ranks = self.spark.createDataFrame([(f["path"], i) for i, f in enumerate(files)], "__name string, __seq long")
-        ordered = table.withColumn("__name", self._relative(F.col(FILE))).join(ranks, "__name").drop("__name").alias("dst")
+        ordered = self._ranked(table, files).alias("dst")
         src = df.withColumn("__sid", F.xxhash64(*[F.to_json(F.struct(F.col(quoted(c)))) for c in df.columns])).alias("src")
         on = condition
         for k in keys:
             on = on & (F.col(f"dst.{quoted(k)}") == F.col(f"src.{quoted(k)}"))
-        place = F.struct(F.col("dst.__seq").alias("s"), F.col(f"dst.{ROW}").alias("r"), F.col(f"dst.{FILE}").alias("f"))
-        best = src.join(ordered, on).groupBy(F.col("src.__sid").alias("__sid")).agg(F.min(place).alias("m"))
+        best = src.join(ordered, on).groupBy(F.col("src.__sid").alias("__sid")).agg(F.min("dst.__place").alias("m"))
         found = src.join(best, "__sid", "left")
         return found.select(*[F.col(f"src.{quoted(c)}") for c in df.columns], F.col("m.f").alias(FILE), F.col("m.r").alias(ROW))
 
@@ -445,8 +467,19 @@ def _partition_value(path: str, hidden: str) -> str | None:
     return None if text == "__HIVE_DEFAULT_PARTITION__" else text
 
 
-def _plain(value: object) -> object:
-    return value if isinstance(value, (int, float, str, bool)) else str(value)
+def _plain(value: object, kind: T.DataType | None = None) -> object:
+    """A bound as the log holds it; an instant in UTC with its offset, so that it means the same in every session."""
+    if isinstance(kind, T.TimestampType):
+        return value.astimezone(dt.UTC).isoformat()
+    return value if isinstance(value, (int, float, str, bool)) else value.isoformat() if isinstance(value, dt.date) else str(value)
+
+
+def unfolded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, dead row) of compressed deletion vectors."""
+    for pdf in batches:
+        for path, bitmap, n in zip(pdf["dead"], pdf["bitmap"], pdf["cardinality"], strict=True):
+            rows = parse_vector(bytes(bitmap), None if pd.isna(n) else int(n))
+            yield pd.DataFrame({"dead": path, f"{ROW}_dead": rows.astype("int64")})
 
 
 def changed(df: DataFrame, hit: Column, values: Mapping[str, object], schema: T.StructType) -> DataFrame:
@@ -465,33 +498,37 @@ def changed(df: DataFrame, hit: Column, values: Mapping[str, object], schema: T.
     return df.select(*out, *[F.col(c) for c in (FILE, ROW) if c in df.columns])
 
 
-def merge_changes(table: DataFrame, incoming: DataFrame, keys: Sequence[str], schema: T.StructType, when_matched, when_not_matched, delete_when) -> DataFrame:
-    """Per row of either side: action (keep, update, delete, insert), before, after, and the table row's file."""
-    if isinstance(when_matched, str) and when_matched not in ("update", "delete") or when_not_matched not in ("insert", None):
+def merge_changes(table: DataFrame, incoming: DataFrame, schema: T.StructType, when_matched, when_not_matched, delete_when, insert_when=None) -> DataFrame:
+    """Per row of either side: action (keep, update, delete, insert), before, after, and the table row's file. ``incoming``:
+    with file and ordinal of the row that each matches."""
+    if isinstance(when_matched, str) and when_matched not in ("update", "delete") or isinstance(when_not_matched, str) and when_not_matched != "insert":
         raise ValidationError("unknown merge action", "when_matched", (when_matched, when_not_matched))
     dst = table.withColumn("__dst", F.lit(True)).alias("dst")
     src = incoming.withColumn("__src", F.lit(True)).alias("src")
-    on = [F.col(f"dst.{quoted(k)}") == F.col(f"src.{quoted(k)}") for k in keys]
-    both = dst.join(src, on, "full_outer")
+    both = dst.join(src, [F.col(f"dst.{k}") == F.col(f"src.{k}") for k in (FILE, ROW)], "full_outer")
     matched, new = F.col("dst.__dst").isNotNull() & F.col("src.__src").isNotNull(), F.col("dst.__dst").isNull()
-    incoming_columns = [c for c in incoming.columns if c not in (FILE, ROW)]
-    typed = lambda side, f: F.col(f"{side}.{quoted(f.name)}").cast(f.dataType) if f.name in (incoming_columns if side == "src" else table.columns) else F.lit(None).cast(f.dataType)
-
-    def updated(f: T.StructField) -> Column:
-        if isinstance(when_matched, Mapping):
-            if f.name not in when_matched:
-                return typed("dst", f)
-            v = when_matched[f.name]
+    names = {"src": [c for c in incoming.columns if c not in (FILE, ROW)], "dst": table.columns}
+
+    def typed(side: str, f: T.StructField) -> Column:
+        return (F.col(f"{side}.{quoted(f.name)}") if f.name in names[side] else F.lit(None)).cast(f.dataType)
+
+    def made(given, f: T.StructField, side: str) -> Column:
+        """A column of a changed or new row: as ``given``, else as ``side`` has it."""
+        if isinstance(given, Mapping) and f.name in given:
+            v = given[f.name]
             return (v if isinstance(v, Column) else F.lit(v)).cast(f.dataType)
-        return typed("src", f) if f.name in incoming_columns else typed("dst", f)
+        return typed(side, f)
 
-    before = F.when(~new, F.struct(*[typed("dst", f).alias(f.name) for f in schema.fields]))
-    when_hit = F.lit("keep") if when_matched is None else F.lit("delete" if when_matched == "delete" else "update")
+    updated = lambda f: made(when_matched, f, "src" if not isinstance(when_matched, Mapping) and f.name in names["src"] else "dst")
+    row = lambda one: F.struct(*[one(f).alias(f.name) for f in schema.fields])
+    hit = F.lit("keep") if when_matched is None else F.lit("delete" if when_matched == "delete" else "update")
     if delete_when is not None:
-        when_hit = F.when(delete_when, "delete").otherwise(when_hit)
-    action = F.when(matched, when_hit).when(new, F.lit("insert" if when_not_matched else "skip")).otherwise("keep")
-    after = F.when(F.col("action") == "update", F.struct(*[updated(f).alias(f.name) for f in schema.fields]))
-    after = after.when(F.col("action") == "insert", F.struct(*[typed("src", f).alias(f.name) for f in schema.fields]))
-    after = after.when(F.col("action") == "keep", F.col("before"))
-    both = both.withColumn("action", action).withColumn("before", before)
-    return both.select("action", "before", after.alias("after"), F.col(f"dst.{FILE}").alias(FILE), F.col(f"dst.{ROW}").alias(ROW)).where("action <> 'skip'")
+        hit = F.when(delete_when, "delete").otherwise(hit)
+    miss = F.lit("insert" if when_not_matched is not None else "skip")
+    if insert_when is not None:
+        miss = F.when(insert_when, miss).otherwise("skip")
+    action = F.when(matched, hit).when(new, miss).otherwise("keep")
+    before = row(lambda f: typed("dst", f))
+    after = F.when(action == "update", row(updated)).when(action == "insert", row(lambda f: made(when_not_matched, f, "src"))).when(action == "keep", before)
+    columns = [action.alias("action"), F.when(~new, before).alias("before"), after.alias("after"), F.col(f"dst.{FILE}").alias(FILE), F.col(f"dst.{ROW}").alias(ROW)]
+    return both.select(*columns).where("action <> 'skip'")

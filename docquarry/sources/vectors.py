@@ -147,19 +147,27 @@ def inline_vector(rows: np.ndarray) -> dict:
     return {"storageType": "i", "pathOrInlineDv": z85_encode(data), "sizeInBytes": len(data), "cardinality": int(len(np.unique(rows)))}
 
 
-def load_vector(storage: Storage, descriptor: Mapping) -> np.ndarray:
-    """Row ordinals that a descriptor deletes. Fails if the vector can't be read: rows must not come back."""
+def vector_bytes(storage: Storage, descriptor: Mapping) -> bytes:
+    """The bitmap of a descriptor. Fails if it can't be read: rows must not come back."""
     path = vector_path(descriptor)
     size = int(descriptor["sizeInBytes"])
     if path is None:
-        data = z85_decode(descriptor["pathOrInlineDv"])[:size]
-    else:
-        start = int(descriptor.get("offset") or 0)
-        head = storage.read_range(path, start, start + 4)
-        if int.from_bytes(head, "big") != size:
-            raise ValidationError("the deletion vector's size doesn't match its descriptor", "sizeInBytes", size)
-        data = storage.read_range(path, start + 4, start + 4 + size)
+        return z85_decode(descriptor["pathOrInlineDv"])[:size]
+    start = int(descriptor.get("offset") or 0)
+    head = storage.read_range(path, start, start + 4)
+    if int.from_bytes(head, "big") != size:
+        raise ValidationError("the deletion vector's size doesn't match its descriptor", "sizeInBytes", size)
+    return storage.read_range(path, start + 4, start + 4 + size)
+
+
+def parse_vector(data: bytes, cardinality: int | None = None) -> np.ndarray:
     rows = parse_roaring(data)
-    if "cardinality" in descriptor and len(rows) != int(descriptor["cardinality"]):
+    if cardinality is not None and len(rows) != cardinality:
         raise ValidationError("the deletion vector's cardinality doesn't match its descriptor", "cardinality", len(rows))
     return rows
+
+
+def load_vector(storage: Storage, descriptor: Mapping) -> np.ndarray:
+    """Row ordinals that a descriptor deletes."""
+    n = descriptor.get("cardinality")
+    return parse_vector(vector_bytes(storage, descriptor), None if n is None else int(n))
