@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.morton import interleave
+from .functions.variant import decode_json, encode_json, shred
 from .operators.dedup import deduplicate_by_key, deduplicate_exact, duplicate_histogram
 from .operators.filters import find
 from .operators.pipeline import aggregate
 from .operators.projection import project
 from .plans.pushdown import ColumnPredicate, ZoneMap, can_skip, column_predicates
-from .sources.maintenance import cluster, compact, deduplicate
+from .sources.log import add_action, now_ms, parse_stats
+from .sources.maintenance import cluster, compact, deduplicate, vacuum
+from .sources.storage import open_storage
 from .sources.table import Table
+from .sources.vectors import inline_vector
+from .sources.writer import PartsWriter, WriterOptions
 from .streaming.changes import ChangeTable
-from .streaming.envelope import Producer, Source, select_changes
+from .streaming.envelope import Consumer, ConsumerConfig, Offsets, Producer, Source, select_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,6 +302,8 @@ def m_zorder_key(spark, sf_dir):
 
 def scratch(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{named or tempfile.mkdtemp(prefix='docquarry-')}/table-{uuid.uuid4().hex}"
 
 
@@ -388,6 +398,212 @@ def t_pipeline(spark, sf_dir):
     return rounded(_orders_table(spark, sf_dir).aggregate([{"$match": {"o_totalprice": {"$gte": 1000}}}, {"$group": {"_id": "$o_orderstatus", "n": {"$count": {}}, "v": {"$sum": "$o_totalprice"}}}]))
 
 
+# A user's column names, first matches, order, and the maintenance strategies
+
+
+@query("t_merge_names", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS action, o_custkey AS before, CASE WHEN o_orderkey % 5 = 0 THEN 1.0 ELSE o_totalprice END AS after FROM orders")
+def t_merge_names(spark, sf_dir):
+    table = Table(spark, scratch(spark))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("action"), F.col("o_custkey").alias("before"), F.col("o_totalprice").alias("after"))
+    table.append(rows)
+    table.merge(rows.where("id % 5 = 0").select("id", F.lit("new").alias("action"), "before", F.lit(1.0).alias("after")), ["id"])
+    return table.find()
+
+
+@query("t_merge_first", "SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AND o_custkey % 2 = 0 THEN 'first' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def t_merge_first(spark, sf_dir):
+    """Each incoming row changes the first row of its key."""
+    table = Table(spark, scratch(spark))
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    table.append(orders.coalesce(1).sortWithinPartitions("o_orderkey"))
+    table.merge(orders.where("o_custkey % 2 = 0").select("o_custkey").distinct(), ["o_custkey"], {"o_orderstatus": F.lit("first")})
+    return table.find()
+
+
+@query("t_merge_insert_when", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, upper(c_mktsegment) || '!' FROM customer WHERE c_custkey % 4 = 1")
+def t_merge_insert_when(spark, sf_dir):
+    """Unmatched rows are skipped or come changed, row by row."""
+    table = Table(spark, scratch(spark))
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    table.append(customers.where("c_custkey % 2 = 0"))
+    table.merge(customers, ["c_custkey"], None, {"c_mktsegment": F.concat(F.upper("src.c_mktsegment"), F.lit("!"))}, insert_when=F.col("src.c_custkey") % 4 == 1)
+    return table.find()
+
+
+def _many_files(spark: SparkSession, sf_dir: str) -> Table:
+    """Four files of customers, in the order of their keys."""
+    table = Table(spark, scratch(spark))
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    most = customers.agg(F.max("c_custkey")).collect()[0][0]
+    for k in range(4):
+        part = customers.where(F.floor(F.col("c_custkey") * 4 / F.lit(most + 1)) == k)
+        table.append(part.coalesce(1).sortWithinPartitions("c_custkey"))
+    return table
+
+
+_CUSTOMERS = "SELECT c_custkey, c_nationkey, c_acctbal FROM customer"
+
+
+@query("t_compact_order", "SELECT c_nationkey AS _id, min(c_custkey) AS f, max(c_custkey) AS l FROM customer GROUP BY 1")
+def t_compact_order(spark, sf_dir):
+    """Compaction keeps the table's own order."""
+    table = _many_files(spark, sf_dir)
+    compact(table, verify=True)
+    return table.aggregate([{"$group": {"_id": "$c_nationkey", "f": {"$first": "$c_custkey"}, "l": {"$last": "$c_custkey"}}}])
+
+
+@query("t_compact_by_size", _CUSTOMERS)
+def t_compact_by_size(spark, sf_dir):
+    table = _many_files(spark, sf_dir)
+    compact(table, strategy="sort-by-size", verify=True)
+    return table.find()
+
+
+@query("t_compact_dry_run", "SELECT 4 AS files_before, 4 AS files_removed, 1 AS files_added, CAST(NULL AS BIGINT) AS version, 4 AS files_now")
+def t_compact_dry_run(spark, sf_dir):
+    table = _many_files(spark, sf_dir)
+    r = compact(table, dry_run=True)
+    return spark.createDataFrame([(r.files_before, r.files_removed, r.files_added, r.version, len(table.snapshot().files))], "files_before int, files_removed int, files_added int, version long, files_now int")
+
+
+@query("t_cluster_hilbert", _CUSTOMERS)
+def t_cluster_hilbert(spark, sf_dir):
+    table = _many_files(spark, sf_dir)
+    cluster(table, ["c_nationkey", "c_acctbal"], "hilbert", files=4)
+    return table.find()
+
+
+@query("t_vacuum", "SELECT 'kept' AS what, count(*) AS n FROM customer UNION ALL SELECT 'deleted files', 4 UNION ALL SELECT 'planned', 4")
+def t_vacuum(spark, sf_dir):
+    """After a compaction the four files that it replaced go."""
+    table = _many_files(spark, sf_dir)
+    compact(table)
+    later = now_ms() + 10 * 3_600_000
+    planned = vacuum(table, 2, dry_run=True, now=later)
+    gone = vacuum(table, 2, now=later)
+    return spark.createDataFrame([("kept", table.count()), ("deleted files", len(gone.deleted)), ("planned", len(planned.deleted))], "what string, n long")
+
+
+# The log: checkpoints, cleanup, time travel, snapshots, raw commits
+
+
+def _nations(spark: SparkSession, sf_dir: str, commits: int) -> Table:
+    """A commit per nation key below ``commits``; checkpoints every ten versions."""
+    table = Table(spark, scratch(spark))
+    nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    for k in range(commits):
+        table.append(nations.where(F.col("n_nationkey") == k).coalesce(1))
+    return table
+
+
+@query("l_checkpoint", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 12")
+def l_checkpoint(spark, sf_dir):
+    """Read from the checkpoint and the commits after it, with the commits before it gone."""
+    table = _nations(spark, sf_dir, 12)
+    at = table.log.last_checkpoint()
+    if at is None or not table.log.validate_checkpoint(at):
+        raise AssertionError("no valid checkpoint")
+    table.log.clean_log(at)
+    return Table(spark, table.root).find()
+
+
+@query("l_versions", "SELECT * FROM (VALUES (0, 1), (1, 2), (2, 3)) t(v, n)")
+def l_versions(spark, sf_dir):
+    table = _nations(spark, sf_dir, 3)
+    return spark.createDataFrame([(v, table.find(version=v).count()) for v in table.log.versions()], "v int, n int")
+
+
+@query("l_as_of_time", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 2")
+def l_as_of_time(spark, sf_dir):
+    table = _nations(spark, sf_dir, 2)
+    stamp = next(a["commitInfo"]["timestamp"] for a in table.log.read(1) if "commitInfo" in a)
+    time.sleep(0.02)
+    table.delete({"n_nationkey": 1})
+    return table.find(timestamp_ms=stamp)
+
+
+@query("l_snapshot", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 2")
+def l_snapshot(spark, sf_dir):
+    """A pinned snapshot doesn't move with the table."""
+    table = _nations(spark, sf_dir, 2)
+    pinned = table.snapshot()
+    table.delete({"n_nationkey": {"$gte": 0}})
+    return table.find(snapshot=pinned)
+
+
+@query("l_metadata", "SELECT 'nations' AS name, 'x' AS description, 'on' AS setting, 3 AS version")
+def l_metadata(spark, sf_dir):
+    table = _nations(spark, sf_dir, 2)
+    table.update_metadata(name="nations", description="x")
+    table.set_configuration(setting="on")
+    meta = table.snapshot().metadata
+    return spark.createDataFrame([(meta["name"], meta["description"], table.configuration()["setting"], table.version())], "name string, description string, setting string, version int")
+
+
+@query("l_deletion_vector", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 3)")
+def l_deletion_vector(spark, sf_dir):
+    """A file is committed again with its first three rows dead."""
+    table = _many_files(spark, sf_dir)
+    path, body = next(iter(table.snapshot().files.items()))
+    table.commit([add_action(path, body["size"], body["partitionValues"], deletion_vector=inline_vector(np.arange(3)))])
+    return table.find()
+
+
+@query("l_column_mapping", "SELECT n_nationkey, n_name FROM nation WHERE n_name >= 'J'")
+def l_column_mapping(spark, sf_dir):
+    """The files hold ``col-1`` where the table says n_name."""
+    table = Table(spark, scratch(spark))
+    nations = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("n_name", metadata={"columnMapping.physicalName": "col-1"}))
+    table.append(nations, configuration={"columnMapping.mode": "name"})
+    return table.find({"n_name": {"$gte": "J"}})
+
+
+@query("l_skipped_by_time", "SELECT o_orderkey, 1 AS skipped FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-03-01'")
+def l_skipped_by_time(spark, sf_dir):
+    """Files are skipped by the bounds of a time column: the older of two here."""
+    table = Table(spark, scratch(spark))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    for part in ("o_orderdate < '1996-01-01'", "o_orderdate >= '1996-01-01'"):
+        table.append(orders.where(part).coalesce(1))
+    found = table.find({"o_orderdate": {"$gte": datetime.datetime(1997, 1, 1), "$lt": datetime.datetime(1997, 3, 1)}}, ["o_orderkey"])
+    return found.withColumn("skipped", F.lit(table.last_skipped_files))
+
+
+@query("l_batches", "SELECT 10 AS size, 2 AS n UNION ALL SELECT 5, 1")
+def l_batches(spark, sf_dir):
+    table = Table(spark, scratch(spark))
+    table.append(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    sizes = [len(b) for b in table.batches(size=10)]
+    return spark.createDataFrame([(s, sizes.count(s)) for s in sorted(set(sizes))], "size int, n int")
+
+
+@query("l_partition_paths", "SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1")
+def l_partition_paths(spark, sf_dir):
+    """Rows by the partition values that the log gives their files."""
+    table = _orders_table(spark, sf_dir, partitions=["o_orderstatus"])
+    files = [(f["partitionValues"]["o_orderstatus"], parse_stats(f["stats"])["numRecords"]) for f in table.snapshot().files.values()]
+    return spark.createDataFrame(files, "value string, n long").groupBy("value").agg(F.sum("n").alias("n"))
+
+
+@query("l_parts_writer", "SELECT n_nationkey, n_name FROM nation")
+def l_parts_writer(spark, sf_dir):
+    """Documents written in parts of ten."""
+    folder = scratch(spark)
+    writer = PartsWriter(spark, folder, WriterOptions(group_rows=10))
+    rows = [r.asDict() for r in read(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]  # 25 rows
+    for k in range(0, len(rows), 7):
+        writer.write(rows[k : k + 7])
+    writer.finish()
+    return spark.read.parquet(f"{folder}/parts").select("n_nationkey", "n_name")
+
+
+@query("w_variant", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS VARCHAR) AS again FROM events")
+def w_variant(spark, sf_dir):
+    """Encoded as a variant, shredded by path, and decoded."""
+    docs = read(spark, sf_dir, "events").select("event_id", encode_json(F.col("props")).alias("v"))
+    return docs.select("event_id", *shred(F.col("v"), {"k": "bigint"}), F.get_json_object(decode_json(F.col("v")), "$.k").alias("again"))
+
+
 # Change feed
 
 
@@ -421,6 +637,31 @@ def c_feed_range(spark, sf_dir):
     return _flat(_feed_table(spark, sf_dir).changes(2, 3))
 
 
+@query("c_feed_time", f"SELECT * FROM ({_feed_sql()}) WHERE v BETWEEN 1 AND 2")
+def c_feed_time(spark, sf_dir):
+    table = _feed_table(spark, sf_dir)
+    first, last = (next(a["commitInfo"]["timestamp"] for a in table.log.read(v) if "commitInfo" in a) for v in (1, 2))
+    return _flat(table.changes_between(first, last))
+
+
+@query("c_offsets", "SELECT * FROM (VALUES ('processed', 5), ('position', 15), ('resumed', 15), ('after seek', 3), ('after reset', 0)) t(what, n)")
+def c_offsets(spark, sf_dir):
+    """A consumer reads, commits, and another one goes on where it stopped."""
+    made = Producer(Source("docquarry"), sequence=10).create(read(spark, sf_dir, "region"), "r_regionkey")
+    offsets = Offsets(open_storage(scratch(spark), spark))
+    first = Consumer(ConsumerConfig("readers", "regions"), offsets)
+    seen: list[int] = []
+    first.subscribe(lambda part: seen.append(part.count()))
+    first.process(made)
+    first.commit()
+    second = Consumer(ConsumerConfig("readers", "regions"), offsets)
+    found = [("processed", seen[0]), ("position", first.position), ("resumed", second.resume())]
+    second.seek(3)
+    found.append(("after seek", second.position))
+    second.reset()
+    return spark.createDataFrame([*found, ("after reset", second.position)], "what string, n int")
+
+
 @query("c_feed_merge", f"""WITH src AS ({_MERGE_SRC}) SELECT 'update_preimage' AS kind, o.o_orderkey, o.o_orderstatus FROM orders o JOIN src USING (o_orderkey)
     UNION ALL SELECT 'update_postimage', o_orderkey, 'M' FROM src WHERE o_orderkey >= 0 UNION ALL SELECT 'insert', o_orderkey, 'M' FROM src WHERE o_orderkey < 0""")
 def c_feed_merge(spark, sf_dir):
