@@ -282,7 +282,7 @@ def search_graph(index: DataFrame, blocks: int, files: int, starts: DataFrame, k
             wanted = np.frombuffer(want, np.int64)
             at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
             at = at[ids[at] == wanted]
-            s = (x[at] * np.frombuffer(vec, "<f8")).sum(axis=1)
+            s = np.cumsum(x[at] * np.frombuffer(vec, "<f8"), axis=1)[:, -1]  # in the order of the components
             good = np.flatnonzero(s >= bar)
             most = int(RESERVE * beam)
             if len(good) > most:
