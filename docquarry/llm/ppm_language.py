@@ -229,7 +229,7 @@ def language_udf(docs: DataFrame, model: PPM | None, certain_bytes: int = 50):
             known = np.array([walker is not None and t is not None and LETTER.search(t) is not None for t in texts], bool)
             where = np.flatnonzero(known)
             done = 0
-            for part in slices_by_bytes(texts[known], 1 << 19):
+            for part in slices_by_bytes(texts[known], 1 << 18):
                 raws = [encoded(t.lower()) for t in part]
                 bits = walker.bits(raws)
                 sizes = np.array([len(r) for r in raws])
