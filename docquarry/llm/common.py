@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +96,27 @@ class Finder:
         return found is not None and self.full.search(text, found.start()) is not None
 
 
+def give_back() -> None:
+    """Return the memory that a Python worker has freed to the system. Spark keeps idle workers, and the allocators keep their
+    pages, while the executor's JVM needs room for the next stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives back its memory when its task ends."""
+
+    @functools.wraps(run)
+    def ending(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ending
+
+
 def slices_by_bytes(texts: pd.Series, limit: int = 4 << 20) -> Iterator[pd.Series]:
     """Consecutive pieces of a batch of about ``limit`` characters each, one text at least; bounds the Python objects alive at once."""
     size = texts.str.len().fillna(0).to_numpy(dtype=np.int64)

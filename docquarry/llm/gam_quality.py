@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, encoded, hash_fraction, slices_by_bytes
+from .common import col, encoded, frugal, hash_fraction, slices_by_bytes
 
 FEATURES = (
     "log_words",
@@ -194,6 +194,7 @@ def feature_udf():
     """A column function: text -> array of ``FEATURES``."""
 
     @F.pandas_udf("array<double>")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         packer = zstandard.ZstdCompressor(level=1)
         for texts in batches:
@@ -222,6 +223,7 @@ def quality_udf(docs: DataFrame, model: AdditiveModel):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some tables of a few dozen numbers
 
     @F.pandas_udf("double")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         packer = zstandard.ZstdCompressor(level=1)
         for texts in batches:

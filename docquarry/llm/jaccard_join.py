@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, encoded, slices_by_bytes, sorted_runs
+from .common import col, cut_lineage, encoded, frugal, give_back, slices_by_bytes, sorted_runs
 from .components import Forest, connected_components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -304,7 +304,7 @@ def _one_pass(docs: DataFrame, rules: JoinRules, flush: int = 1 << 19) -> DataFr
         if held:
             yield from send()
 
-    return docs.mapInPandas(run, ", ".join(f"{k} {v}" for k, v in FRAME.items()))
+    return docs.mapInPandas(frugal(run), ", ".join(f"{k} {v}" for k, v in FRAME.items()))
 
 
 def _shared_signatures(rows: DataFrame, rules: JoinRules) -> DataFrame:
@@ -346,11 +346,14 @@ def _shared_signatures(rows: DataFrame, rules: JoinRules) -> DataFrame:
         shared = np.flatnonzero(counts > 1)
         shared = shared[np.unique(name[shared], return_index=True)[1]]
         rows = np.repeat(starts[shared] - np.concatenate([[0], np.cumsum(counts[shared])[:-1]]), counts[shared]) + np.arange(counts[shared].sum()) if len(shared) else np.empty(0, np.int64)
-        return pd.DataFrame({"group": np.repeat(name[shared].view(np.int64), counts[shared]), "short": cls[rows].astype(np.int64)})
+        met = pd.DataFrame({"group": np.repeat(name[shared].view(np.int64), counts[shared]), "short": cls[rows].astype(np.int64)})
+        del sig, cls, starts, counts, name, shared, rows
+        give_back()
+        return met
 
-    found = blobs.mapInPandas(deal, "bucket long, sigs binary, classes binary").groupBy("bucket").applyInPandas(meet, "group long, short long")
+    found = blobs.mapInPandas(frugal(deal), "bucket long, sigs binary, classes binary").groupBy("bucket").applyInPandas(meet, "group long, short long")
     if len(hot):
-        found = found.union(blobs.mapInPandas(by_class, "group long, short long"))
+        found = found.union(blobs.mapInPandas(frugal(by_class), "group long, short long"))
     return found.distinct()
 
 
@@ -429,7 +432,7 @@ def _bitmap_edges(shared: DataFrame, classes: DataFrame, rules: JoinRules) -> Da
                     forest = Forest()
         yield _frame(edges, ["a", "b"])
 
-    return _in_tiles(found, "group", _large_groups(found.select("group", "n"), "group", rules), "bits", rules).mapInPandas(compare, EDGES)
+    return _in_tiles(found, "group", _large_groups(found.select("group", "n"), "group", rules), "bits", rules).mapInPandas(frugal(compare), EDGES)
 
 
 def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
@@ -459,7 +462,7 @@ def _links(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
                 links = []
         yield _frame(links, ["a", "b", "final"])
 
-    return _in_tiles(texts, "family", _large_groups(family, "family", rules), "text", rules).mapInPandas(compare, f"{EDGES}, final long")
+    return _in_tiles(texts, "family", _large_groups(family, "family", rules), "text", rules).mapInPandas(frugal(compare), f"{EDGES}, final long")
 
 
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, encoded, hash_fraction, slices_by_bytes
+from .common import col, cut_lineage, encoded, frugal, hash_fraction, slices_by_bytes
 
 LETTER = regex.compile(r"\p{L}")
 PAD = b"\n"
@@ -197,7 +197,7 @@ def learn_languages(docs: DataFrame, trains: Column, order: int = 4, per_languag
                     key, n = np.unique(grams([encoded(t.lower()) for t in part], order), return_counts=True)
                     yield pd.DataFrame({"lang": code[name], "key": key, "n": n})
 
-    found = chosen.where(F.col("draw") < share).select("lang", "text").mapInPandas(count, "lang int, key long, n long")
+    found = chosen.where(F.col("draw") < share).select("lang", "text").mapInPandas(frugal(count), "lang int, key long, n long")
     sides = [f"n{i}" for i in range(len(languages))]
     sums = cut_lineage(found.groupBy("key").agg(*[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(sides)]))
     # the sample bounds both; strings seen once only count for shorter ones, which keep their counts
@@ -222,6 +222,7 @@ def language_udf(docs: DataFrame, model: PPM | None, certain_bytes: int = 50):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double, typical_bits double")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         walker = shared.value.walker() if shared.value else None
         for texts in batches:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, col, cut_lineage, encoded, free_name, slices_by_bytes
+from .common import ASCII_SPACE, col, cut_lineage, encoded, free_name, frugal, slices_by_bytes
 
 WINDOW = 16
 _SPACE = np.zeros(256, bool)
@@ -114,7 +114,7 @@ def chunk_rows(docs: DataFrame, rules: Chunking, id_col: str, text_col: str) ->
                 yield pd.DataFrame({"digest": np.array(digests, np.uint64).view(np.int64), "doc_id": np.repeat(ids, counts), "span": np.array(spans, np.int64)})
 
     texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text"))
-    return texts.where("doc_id is not null and text is not null").mapInPandas(run, "digest long, doc_id long, span long")
+    return texts.where("doc_id is not null and text is not null").mapInPandas(frugal(run), "digest long, doc_id long, span long")
 
 
 def repeated_chunks(docs: DataFrame, rules: Chunking, id_col: str, text_col: str) -> DataFrame:
