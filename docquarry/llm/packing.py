@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import col, cut_lineage, slices_by_bytes
+from .common import col, cut_lineage, frugal, slices_by_bytes
 from .word_tokens import WordTokens
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -126,8 +126,8 @@ def best_fit_packing(
             yield from placed(pd.concat(parts, ignore_index=True), capacity, 1 << 62)
 
     texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text"))
-    once = cut_lineage(texts.mapInPandas(first, SCHEMA))
+    once = cut_lineage(texts.mapInPandas(frugal(first), SCHEMA))
     tight = once.where("sequence_id is not null")
     rest = once.where("sequence_id is null")
     rest = rest.repartition(max(1, -(-rest.count() // spread)), "doc_id", "piece", "ids_crc32")
-    return tight.unionByName(rest.mapInPandas(second, SCHEMA))
+    return tight.unionByName(rest.mapInPandas(frugal(second), SCHEMA))
