@@ -59,13 +59,19 @@ def local_stars(edges: DataFrame, held: int = 1_000_000) -> DataFrame:
     return edges.mapInPandas(run, "a long, b long")
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(a, m): the smallest b of each a. Grouped by the complement of a, so that a join by a deals these rows out by an exchange
+    of its own; were the aggregate in the join's stage, adaptive execution could not split a hub on the other side."""
+    return edges.groupBy(F.bitwise_not("a").alias("k")).agg(F.min("b").alias("m")).select(F.bitwise_not("k").alias("a"), "m")
+
+
 def _toward_minimum(edges: DataFrame) -> DataFrame:
     """Large star, then small star. ``edges``: a above b."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    low = _lowest(both).select("a", F.least("a", "m").alias("m"))
     # neighbours above a node go to its smallest neighbour or itself
     up = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    low = up.groupBy("a").agg(F.min("b").alias("m"))
+    low = _lowest(up)
     # a node and its lower neighbours go to the smallest of them
     moved = up.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
