@@ -14,6 +14,8 @@ import os
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -54,12 +56,26 @@ class WordTokens:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > self.cache_size:
             self.cache.clear()
+        normal = [None if self.special(t) else self._plain(t) for t in texts]
+        # each distinct word is looked up once; the rest is gathering by position
+        split = pc.utf8_split_whitespace(pa.array([n or "" for n in normal], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
         cache = self.cache
-        split = [None if self.special(t) else self._split(t) for t in texts]
-        new = list(set().union(*(x for x in split if x is not None)) - cache.keys())
-        for at in range(0, len(new), self.batch):
-            self._learn(new[at : at + self.batch])
-        out = [self._whole(t) if x is None else b"".join(map(cache.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
+        cache[""] = b""  # blanks at an end leave an empty word there
+        blobs = list(map(cache.get, distinct))
+        missing = [i for i, b in enumerate(blobs) if b is None]
+        new = [distinct[i] for i in missing]
+        for k in range(0, len(new), self.batch):
+            self._learn(new[k : k + self.batch])
+        for i, word in zip(missing, new, strict=True):
+            blobs[i] = cache[word]
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        begin = np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(size[at])])
+        ids = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(begin[at] - ends[:-1], size[at]) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+        out = [self._whole(t) if n is None else ids[a:b] for t, n, a, b in zip(texts, normal, bounds, bounds[1:], strict=False)]
         for word in new:
             if len(word) > self.LONGEST:
                 del cache[word]
@@ -69,12 +85,10 @@ class WordTokens:
     def _normal(text: str) -> str:
         return unicodedata.normalize("NFC", text).lower()
 
-    def _split(self, text: str) -> list[str] | None:
-        """The words of a text; None if it holds an added token."""
+    def _plain(self, text: str) -> str | None:
+        """The normal form of a text; None if it holds an added token."""
         normal = self._normal(text)
-        if any(s in normal or s in text for s in self.added):
-            return None
-        return normal.split()
+        return None if any(s in normal or s in text for s in self.added) else normal
 
     def _pieces(self, word: str) -> list[str]:
         """The pre-tokens of a word that isn't letters only; letters with one mark at the end need no pattern."""
@@ -86,15 +100,17 @@ class WordTokens:
         plain = [w for w in words if w.isalpha()]  # these are one pre-token each
         others = [w for w in words if not w.isalpha()]
         pieces = [self._pieces(w) for w in others]
-        distinct = list(set(plain).union(*pieces))
+        cached = self.cache
+        known = {p: cached[p] for x in pieces for p in x if p in cached and p.isalpha()}
+        distinct = list(set(plain).union(*pieces) - known.keys())
         lines = [" ".join(distinct[k : k + 50]) for k in range(0, len(distinct), 50)]
-        ids = np.concatenate([np.array(x.ids, "<u4") for k in range(0, len(lines), 100) for x in self.split_tokenizer.encode_batch_fast(lines[k : k + 100], add_special_tokens=False)])
+        ids = np.concatenate([np.empty(0, "<u4")] + [np.array(x.ids, "<u4") for k in range(0, len(lines), 100) for x in self.split_tokenizer.encode_batch_fast(lines[k : k + 100], add_special_tokens=False)])
         ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(ends) != len(distinct):  # a pre-token without an end mark, such as one that the vocabulary can't spell
             self.cache.update((w, self._whole(w)) for w in words)
             return
         blob = ids.tobytes()
-        known = {p: blob[a:b] for p, a, b in zip(distinct, [0, *ends], ends)}
+        known.update((p, blob[a:b]) for p, a, b in zip(distinct, [0, *ends], ends))
         find = known.__getitem__
         self.cache.update(zip(plain, map(find, plain), strict=True))
         self.cache.update((w, find(x[0]) + find(x[1]) if len(x) == 2 else b"".join(map(find, x))) for w, x in zip(others, pieces, strict=True))
