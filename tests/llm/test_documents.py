@@ -414,6 +414,18 @@ def test_rows_of_one_id(spark):
     assert runs[0] == runs[1]
 
 
+def test_rounds_move_little(spark):
+    """Bytes shuffled a vector, which decide the time of large tables."""
+    x = np.random.default_rng(4).normal(size=(3000, 32))
+
+    def moved():
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = moved()
+    assert recall(spark, x, 20) > 0.95
+    assert moved() - before < 20_000 * len(x)
+
+
 # Sharding
 
 
